@@ -20,13 +20,10 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
     and null ends are ignored; an empty table gives an empty table.
     """
     scratch = Scratch(spark)
-    a, b = F.col("a"), F.col("b")
-    now = scratch.keep(
-        edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges"
-    )
+    now = scratch.keep(edges.where("a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        mark = now.selectExpr("count(1)", "bit_xor(xxhash64(u, v))", "sum(cast(xxhash64(v, u) as decimal(38, 0)))").first()
         if not mark[0] or mark == seen:
             break
         seen = mark

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import connected_components
@@ -79,31 +79,24 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _lanes(distances: list[Column]) -> Column:
-    """Up to eight distances in the bytes of one long."""
-    out = F.lit(0).cast("long")
-    for i, d in enumerate(distances):
-        out = out.bitwiseOR(F.shiftleft(d.cast("long"), 8 * i))
-    return out
+def _lanes(distances: list[str]) -> str:
+    """Up to eight distances in the bytes of one long (SQL text, as all of these: one call each to the JVM)."""
+    return "(" + " | ".join(f"shiftleft(cast({d} as bigint), {8 * i})" for i, d in enumerate(distances)) + ")"
 
 
 def pivot_table(prints: DataFrame) -> DataFrame:
     """Adds ``near`` (one long of eight distances per block) and ``far`` (two longs of eight) to ``fp``."""
     edges = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
     masks = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:], strict=False)]
-    fp = F.col("fp")
-    to = lambda ref, mask: F.bit_count(fp.bitwiseXOR(F.lit(_signed(ref))).bitwiseAND(F.lit(_signed(mask))))
+    to = lambda ref, mask: f"bit_count((fp ^ {_signed(ref)}L) & {_signed(mask)}L)"
     near = [_lanes([to(_reference(8 * b + j), mask) for j in range(8)]) for b, mask in enumerate(masks)]
     far = [_lanes([to(_reference(1000 + 8 * i + j), (1 << 64) - 1) for j in range(8)]) for i in range(GLOBAL // 8)]
-    return prints.withColumns({"near": F.array(*near), "far": F.array(*far)})
+    return prints.selectExpr("*", f"array({', '.join(near)}) as near", f"array({', '.join(far)}) as far")
 
 
-def _coordinates_close(a: Column, b: Column, limit: int) -> Column:
-    lane = lambda x, i: F.shiftright(x[i // 8], 8 * (i % 8)).bitwiseAND(F.lit(127))
-    out = F.lit(True)
-    for i in range(GLOBAL):
-        out = out & (F.abs(lane(a, i) - lane(b, i)) <= limit)
-    return out
+def _coordinates_close(a: str, b: str, limit: int) -> str:
+    lane = lambda x, i: f"(shiftright({x}[{i // 8}], {8 * (i % 8)}) & 127)"
+    return " and ".join(f"abs({lane(a, i)} - {lane(b, i)}) <= {limit}" for i in range(GLOBAL))
 
 
 def links(spark: SparkSession, prints: DataFrame, distance: int = 2, crowd: int = CROWD) -> DataFrame:
@@ -111,29 +104,27 @@ def links(spark: SparkSession, prints: DataFrame, distance: int = 2, crowd: int
     if not 0 <= distance <= 2:
         raise ValueError("keys of blocks cover distances up to 2")
     scratch = Scratch(spark)
-    near = F.col("near")
-    keys = F.array(*(F.xxhash64(F.lit(n), *(near[b] for b in blocks)) for n, blocks in enumerate(combinations(range(BLOCKS), BLOCKS - 2))))
-    keyed = pivot_table(prints.select("fp")).select("fp", "far", F.explode(keys).alias("key"))
+    keys = [f"xxhash64({n}, {', '.join(f'near[{b}]' for b in blocks)})" for n, blocks in enumerate(combinations(range(BLOCKS), BLOCKS - 2))]
+    keyed = pivot_table(prints.select("fp")).selectExpr("fp", "far", f"explode(array({', '.join(keys)})) as key")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = scratch.keep(keyed.join(shared, "key"), "keyed")
     some = shared.where(F.col("n") <= crowd)
     left, right = some.select("key", "fp", "far"), some.select("key", F.col("fp").alias("fp2"), F.col("far").alias("far2"))
     pairs = (
         left.join(right, "key")
-        .where((F.col("fp") < F.col("fp2")) & _coordinates_close(F.col("far"), F.col("far2"), distance))
-        .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= distance)
+        .where(f"fp < fp2 and {_coordinates_close('far', 'far2', distance)}")
+        .where(f"bit_count(fp ^ fp2) <= {distance}")
         .select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
         .distinct()
     )
     many = shared.where(F.col("n") > crowd).select("fp").distinct()
+    flips = ", ".join(f"fp ^ shiftleft(1L, {i})" for i in range(64))
     if distance == 2:
-        one = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)))
-        spread = many.select("fp", F.explode(one).alias("by"))
+        spread = many.selectExpr("fp", f"explode(array(fp, {flips})) as by")
         hubs = spread.groupBy("by").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
         crowded = spread.join(hubs, "by").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
     elif distance == 1:  # the neighbour is a member itself
-        one = F.array(*(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)))
-        spread = many.select("fp", F.explode(one).alias("by"))
+        spread = many.selectExpr("fp", f"explode(array({flips})) as by")
         crowded = spread.join(many.withColumnRenamed("fp", "by"), "by").select(F.col("by").alias("a"), F.col("fp").alias("b"))
     else:
         crowded = many.limit(0).select(F.col("fp").alias("a"), F.col("fp").alias("b"))

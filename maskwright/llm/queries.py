@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .pack import best_fit_pack
 from .simhash import simhash_dedup
 from .substring import substring_dedup
+from .tokenbin import read_token_files, write_token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(spark, _documents(spark, sf_dir))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(spark, _documents(spark, sf_dir))
 
@@ -22,9 +28,15 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark, _documents(spark, sf_dir))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(spark, write_token_files(spark, _documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_pack": op1_best_fit_pack,
     "op2_simhash": op2_simhash,
     "op4_substring_dedup": op4_substring_dedup,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLES: dict[str, str] = {}

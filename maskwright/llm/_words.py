@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -66,7 +66,7 @@ class Rolling:
         n = len(hashes)
         up, down = self._powers.get(base, (np.zeros(0, np.uint64),) * 2)
         if len(up) < n + 1:
-            size = 1 << (n + 1).bit_length()
+            size = max(n + 1, 1 << 16) * 5 // 4
             inverse = pow(base, -1, 1 << 64)
             up, down = np.full(size, base, np.uint64), np.full(size, inverse, np.uint64)
             for x in (up, down):

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import identify_language
 from .pack import best_fit_pack
+from .quality import quality_rules
 from .simhash import simhash_dedup
 from .substring import substring_dedup
 from .tokenbin import read_token_files, write_token_files
@@ -28,6 +30,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark, _documents(spark, sf_dir))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(spark, _documents(spark, sf_dir))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, write_token_files(spark, _documents(spark, sf_dir)))
 
@@ -36,6 +46,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_pack": op1_best_fit_pack,
     "op2_simhash": op2_simhash,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_language_id": op7_language_id,
     "op10_token_files": op10_token_files,
 }
 

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import digest_chat, format_chat
 from .langid import identify_language
+from .mix import mix_sources
 from .pack import best_fit_pack
 from .quality import quality_rules
 from .simhash import simhash_dedup
@@ -38,6 +40,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(spark, _documents(spark, sf_dir))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return digest_chat(format_chat(turns.unionAll(own)))
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(spark, _documents(spark, sf_dir)).drop("mark")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, write_token_files(spark, _documents(spark, sf_dir)))
 
@@ -48,7 +61,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op7_language_id": op7_language_id,
+    "op8_chat_format": op8_chat_format,
+    "op9_mix_sources": op9_mix_sources,
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_chat_format": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+        SELECT conv_id, count(*)::BIGINT AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum(15 + length(role) + length(text) + length(role || text) - length(replace(replace(replace(role || text, '\', ''), '<', ''), '>', '')))::BIGINT AS formatted_chars
+        FROM turns GROUP BY conv_id""",
+}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import digest_chat, format_chat
+from .embed import embedding_dedup
 from .langid import identify_language
 from .mix import mix_sources
 from .pack import best_fit_pack
@@ -28,6 +29,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(spark, _documents(spark, sf_dir))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark, _documents(spark, sf_dir))
 
@@ -58,6 +63,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_pack": op1_best_fit_pack,
     "op2_simhash": op2_simhash,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op7_language_id": op7_language_id,

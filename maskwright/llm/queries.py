@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import digest_chat, format_chat
 from .embed import embedding_dedup
 from .langid import identify_language
+from .lm import lm_score
 from .mix import mix_sources
 from .pack import best_fit_pack
 from .quality import quality_rules
@@ -41,6 +42,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(spark, _documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(spark, _documents(spark, sf_dir))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_lm_score": op6_lm_score,
     "op7_language_id": op7_language_id,
     "op8_chat_format": op8_chat_format,
     "op9_mix_sources": op9_mix_sources,

@@ -26,17 +26,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._words import slices, split_words
 
 PER_LANGUAGE, TRAIN_WORDS, TRAIN_CHARS = 300, 150, 4000
 HIDDEN, LONGEST = 16, 24
-STEPS, BATCH, RATE = 500, 768, 0.02
+STEPS, BATCH, RATE = 400, 768, 0.02
 CACHED = 400_000
 UNKNOWN = "und"
 #: Documents whose remainder is this one are held out.
 FOLDS, HELD = 4, 2
 
+#: Internal names of the two results.
+LANG, SCORE = "__lang_pred", "__lang_score"
+
 Params = dict[str, np.ndarray]
 
 
@@ -229,7 +233,7 @@ class _Labeller:
 _labellers: dict[bytes, _Labeller] = {}
 
 
-def _predict(names: list[str], p: Params):
+def _predict(names: list[str], p: Params, with_text: bool = False):
     key = b"".join(v.tobytes() for _, v in sorted(p.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +250,8 @@ def _predict(names: list[str], p: Params):
                 letter = pc.match_substring_regex(text, r"\pL").to_numpy(zero_copy_only=False)
                 pred = [names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letter.tolist(), strict=True)]
                 score = np.where(letter, np.minimum(prob[np.arange(len(best)), best], 1.0), 0.0)
-                keep = [c for c in batch.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+                keep = [c for c in batch.schema.names if with_text or c != "text"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score)], [*keep, LANG, SCORE])
 
     return run
 
@@ -262,4 +266,15 @@ def identify_language(
     rows = rows.select("doc_id", held, "text")
     if not names:
         return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    return rows.mapInArrow(_predict(names, p), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    out = rows.mapInArrow(_predict(names, p), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, {LANG} string, {SCORE} double")
+    return out.withColumnsRenamed({LANG: "lang_pred", SCORE: "score"})
+
+
+def accepted(docs: DataFrame, least: float = 0.25) -> DataFrame:
+    """The rows of ``docs(doc_id, text, lang, ...)`` that get a language with at least this score, all columns; null languages are filled in."""
+    names, p = fit(sample(docs.select("doc_id", "text", "lang")))
+    if not names:
+        return docs.limit(0)
+    schema = T.StructType([*docs.schema, T.StructField(LANG, T.StringType()), T.StructField(SCORE, T.DoubleType())])
+    out = docs.mapInArrow(_predict(names, p, True), schema).where((F.col(LANG) != UNKNOWN) & (F.col(SCORE) >= least))
+    return out.withColumn("lang", F.coalesce("lang", LANG)).drop(LANG, SCORE)

@@ -1,0 +1,53 @@
+"""Row shapes shared by operators (offsets are code points, half-open, from 0)."""
+
+from pyspark.sql import types as T
+
+SPAN = T.StructType(
+    [
+        T.StructField("start", T.IntegerType()),
+        T.StructField("end", T.IntegerType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("type", T.StringType()),
+        T.StructField("type_src", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("score", T.DoubleType()),
+    ]
+)
+MENTION = T.StructType(
+    [
+        T.StructField("doc_id", T.StringType()),
+        T.StructField("mention_id", T.StringType()),
+        T.StructField("span", SPAN),
+        T.StructField("gold_entity_id", T.StringType()),
+        T.StructField("attributes", T.MapType(T.StringType(), T.StringType())),
+    ]
+)
+DOCUMENT = T.StructType(
+    [
+        T.StructField("doc_id", T.StringType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("language", T.StringType()),
+        T.StructField("mentions", T.ArrayType(MENTION)),
+        T.StructField("corpus", T.StringType()),
+        T.StructField("domain", T.StringType()),
+        T.StructField("provenance", T.StringType()),
+        T.StructField("subject_id", T.StringType()),
+    ]
+)
+EDIT = T.StructType(
+    [
+        T.StructField("old_start", T.IntegerType()),
+        T.StructField("old_end", T.IntegerType()),
+        T.StructField("new_start", T.IntegerType()),
+        T.StructField("new_end", T.IntegerType()),
+        T.StructField("replacement", T.StringType()),
+        T.StructField("entity_key", T.StringType()),
+        T.StructField("entity_type", T.StringType()),
+    ]
+)
+
+#: Harmonised types, and how the pseudonymised release treats each.
+TYPES = ("PERSON", "LOC", "ORG", "DATETIME", "CODE", "DEMOGRAPHIC", "QUANTITY", "MISC")
+POOLED = ("PERSON", "LOC", "ORG", "DEMOGRAPHIC")
+CONSTRUCTED = ("CODE",)
+UNCHANGED = ("DATETIME", "QUANTITY", "MISC")

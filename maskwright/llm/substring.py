@@ -207,14 +207,16 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, s
         met = all_.join(firsts, ["anchor", "content"]).where(~F.struct("doc_id", "at").eqNullSafe(F.col("first")))
         return met.select("doc_id", "at", F.col("first.doc_id").alias("src_id"), F.col("first.at").alias("src_at"))
 
-    found = later(shared, classes).unionAll(later(edges, edges.groupBy("anchor", "content").agg(first, F.count(F.lit(1)).alias("times"))))
     place = lambda c: F.shiftright(c, 8).bitwiseAND(F.lit((1 << 39) - 1))
+    whole = scratch.keep(later(shared, classes), "whole")
+    scratch.drop(shared, classes)
+    found = whole.unionAll(later(edges, edges.groupBy("anchor", "content").agg(first, F.count(F.lit(1)).alias("times"))))
     found = found.select(
         "doc_id", F.shiftright("at", 47).alias("mark"), place("at").alias("place"), F.col("at").bitwiseAND(F.lit(255)).alias("size"),
         "src_id", F.shiftright("src_at", 47).alias("src_mark"), place("src_at").alias("src_place"),
-    ).distinct()
+    )
     spans = scratch.keep(_compacted(found, window), "spans")
-    scratch.drop(shared, classes, edges)
+    scratch.drop(whole, edges)
     return _verified(spark, scratch, rows, spans)
 
 

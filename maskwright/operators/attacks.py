@@ -68,13 +68,13 @@ def neighbours(mentions: DataFrame) -> DataFrame:
     return a.join(b, F.expr("a.doc_id = b.doc_id and a.entity <> b.entity")).groupBy("a.entity", F.col("b.entity").alias("other")).agg(F.sum("a.m").alias("w"))
 
 
-def context(docs: DataFrame, mentions: DataFrame, reach: int = 120) -> DataFrame:
-    """``entity, term, n``: words within ``reach`` characters of an entity's mentions, stop words left out."""
-    met = mentions.select("doc_id", "start", "end", "entity").join(docs.select("doc_id", "text"), "doc_id")
+def context(docs: DataFrame, mentions: DataFrame, reach: int = 120, by: tuple[str, ...] = ("entity",)) -> DataFrame:
+    """``entity, term, n`` (or other columns of the mentions than ``entity``): words within ``reach`` characters of an entity's mentions, stop words left out."""
+    met = mentions.select("doc_id", "start", "end", *by).join(docs.select("doc_id", "text"), "doc_id")
     near = f"concat(substring(text, greatest(start - {reach}, 0) + 1, least(start, {reach})), ' ', substring(text, end + 1, {reach}))"
-    terms = met.selectExpr("entity", f"explode(regexp_extract_all({near}, '([A-Za-z][A-Za-z\\\\x27\\\\-]{{2,}})', 1)) as t").selectExpr("entity", "lower(t) as term")
+    terms = met.selectExpr(*by, f"explode(regexp_extract_all({near}, '([A-Za-z][A-Za-z\\\\x27\\\\-]{{2,}})', 1)) as t").selectExpr(*by, "lower(t) as term")
     stop = ", ".join(f"'{w}'" for w in STOP)
-    return terms.where(f"term not in ({stop})").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"))
+    return terms.where(f"term not in ({stop})").groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def featurise(bags: DataFrame, vocabulary: int) -> DataFrame:

@@ -452,13 +452,9 @@ query("profile_context", "entity:S term:S n:L", _CONTEXT)(lambda t: attacks.cont
 
 
 def _features(t: Tables) -> DataFrame:
-    halves = sampling.folds(t.docs.select("doc_id"), 2, 5)
-    out = None
-    for side, fold in (("gallery", 0), ("query", 1)):
-        part = t.gold.where("type = 'PERSON' and length(text) <= 5").join(halves.where(F.col("fold") == fold), "doc_id", "left_semi")
-        bag = attacks.context(t.docs, part, 40).withColumn("side", F.lit(side))
-        out = bag if out is None else out.unionAll(bag)
-    return attacks.featurise(out, 200)
+    halves = sampling.folds(t.docs.select("doc_id"), 2, 5).selectExpr("doc_id", "if(fold = 0, 'gallery', 'query') as side")
+    mentions = t.gold.where("type = 'PERSON' and length(text) <= 5").join(halves, "doc_id")
+    return attacks.featurise(attacks.context(t.docs, mentions, 40, ("side", "entity")), 200)
 
 
 query("a3_linkage", "queries:L rank1:D rank5:D mrr:D")(lambda t: attacks.rank_summary(attacks.rank(_features(t))))

@@ -10,6 +10,7 @@ import hashlib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Honorifics that a key drops at its start, and the punctuation it drops.
 HONORIFICS = (
@@ -50,7 +51,7 @@ def n4(c: str) -> str:
 NORMALISERS = {"N0": lambda c: c, "N1": n1, "N2": n2, "N3": n3, "N4": n4}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold_key(surface: pd.Series) -> pd.Series:
     """NFKC, strip, collapse white space, case fold."""
     folded = surface.str.normalize("NFKC").str.strip().str.replace(r"\s+", " ", regex=True)

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def paired(scores: DataFrame, reference: str = "A") -> DataFrame:
@@ -46,7 +47,7 @@ def wilcoxon(differences: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def wilcoxon_p(w_plus: pd.Series, w_minus: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided normal approximation (no tie correction); one without differences."""
 
@@ -65,7 +66,7 @@ def mcnemar(differences: DataFrame) -> DataFrame:
     return rows.selectExpr("task", "condition", "b", "c", "case when b + c >= 25 then pow(abs(b - c) - 1, 2) / (b + c) end as chi2")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mcnemar_p(b: pd.Series, c: pd.Series) -> pd.Series:
     def one(x: int, y: int) -> float:
         n = x + y

@@ -24,19 +24,20 @@ def near_pairs(docs: DataFrame, jaccard: float = 0.8, containment: float = 0.9,
     """Pairs of distinct texts with Jaccard at least ``jaccard``, or containment at least ``containment`` of a smaller side of ``least`` shingles.
 
     Exact texts are collapsed first.  Only shingles of at least two texts meet.
-    A prefix filter bounds the meeting: of a text's shingles, rarest first, a
-    partner must share one of the first ``n - ceil(t * n) + 1``; the common
-    ones, which a third of all texts may hold, come last and are only counted
-    for pairs already found.
+    A prefix filter bounds the meeting: of the smaller text's shingles, rarest
+    first, a partner must hold one of the first ``n - ceil(t * n) + 1``; common
+    ones, which a third of all texts may hold, come last.
     """
     one = docs.join(exact(docs).select("doc_id"), "doc_id", "left_semi")
     t = min(jaccard, containment)
     rows = shingles(one, size)
     often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df_"))
     ranked = rows.join(often, "shingle").selectExpr("doc_id", "shingle", "row_number() over (partition by doc_id order by df_, shingle) as r_", "count(1) over (partition by doc_id) as n_", "df_")
-    head = ranked.where(f"df_ > 1 and r_ <= n_ - ceil({t}D * n_) + 1")
-    a, b = head.selectExpr("doc_id as a", "shingle", "n_ as na"), head.selectExpr("doc_id as b", "shingle", "n_ as nb")
-    some = a.join(b, "shingle").where(f"a < b and least(na, nb) >= {jaccard}D * greatest(na, nb) or a < b and least(na, nb) >= {least}").select("a", "b", "na", "nb").distinct()
+    shared = ranked.where("df_ > 1").selectExpr("doc_id", "shingle", "n_", f"r_ <= n_ - ceil({t}D * n_) + 1 as head_")
+    a, b = shared.where("head_").selectExpr("doc_id as p", "shingle", "n_ as np"), shared.selectExpr("doc_id as q", "shingle", "n_ as nq")
+    # the smaller side's head against all of the larger: what both share is at least t of the smaller
+    some = a.join(b, "shingle").where(f"(np < nq or np = nq and p < q) and (np >= {jaccard}D * nq or np >= {least})").select("p", "q", "np", "nq").distinct()
+    some = some.selectExpr("least(p, q) as a", "greatest(p, q) as b", "if(p < q, np, nq) as na", "if(p < q, nq, np) as nb")
     x, y = rows.selectExpr("doc_id as a", "shingle"), rows.selectExpr("doc_id as b", "shingle")
     met = some.join(x, "a").join(y, ["b", "shingle"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both_"))
     met = met.selectExpr("a", "b", "both_ / (na + nb - both_) as jaccard", "both_ / least(na, nb) as containment", "least(na, nb) as smaller_")

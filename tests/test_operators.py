@@ -59,8 +59,9 @@ def test_statistics(spark):
 
 def test_near_pairs(spark):
     a = " ".join(f"w{i}" for i in range(60))
-    rows = spark.createDataFrame([(1, a), (2, a + " x"), (3, a), (4, "other words")], "doc_id long, text string")
-    assert [(r.a, r.b) for r in dedup.near_pairs(rows).collect()] == [(1, 2)]
+    longer = " ".join(f"v{i}" for i in range(200)) + " " + a
+    rows = spark.createDataFrame([(1, a), (2, a + " x"), (3, a), (4, "other words"), (5, longer)], "doc_id long, text string")
+    assert sorted((r.a, r.b) for r in dedup.near_pairs(rows).collect()) == [(1, 2), (1, 5), (2, 5)]
 
 
 def test_sources_and_stream(spark, tmp_path):

@@ -458,3 +458,61 @@ def _features(t: Tables) -> DataFrame:
 
 
 query("a3_linkage", "queries:L rank1:D rank5:D mrr:D")(lambda t: attacks.rank_summary(attacks.rank(_features(t))))
+
+# --- analytic reports ---------------------------------------------------------------------------
+query("spans_per_language", "detector:S lang:S spans:L documents:L", "SELECT detector, lang, count(*) AS spans, count(DISTINCT doc_id) AS documents FROM spans JOIN documents USING (doc_id) GROUP BY ROLLUP (detector, lang)")(
+    lambda t: t.spans.join(t.docs.select("doc_id", "lang"), "doc_id").rollup("detector", "lang").agg(F.count(F.lit(1)).alias("spans"), F.countDistinct("doc_id").alias("documents"))
+)
+query(
+    "latency_summary", "event_type:S n:L mean:D median:D p90:D",
+    "SELECT event_type, count(*) AS n, avg(value) AS mean, median(value) AS median, max(value) FILTER (r = floor(0.9 * (m - 1)) + 1) AS p90 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS m FROM events WHERE value IS NOT NULL) GROUP BY 1",
+)(
+    lambda t: t.table("events").where("value is not null").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("k"))
+    .selectExpr("*", "sum(k) over (partition by event_type order by value) as upto", "sum(k) over (partition by event_type) as m").groupBy("event_type")
+    .agg(F.sum("k").alias("n"), (F.sum(F.col("value") * F.col("k")) / F.sum("k")).alias("mean"), F.expr("percentile(value, 0.5, k)").alias("median"), F.expr("min(case when upto > floor(0.9 * (m - 1)) then value end)").alias("p90"))
+)
+query("detector_records", "detector:S documents:L missing:L", "SELECT detector, count(DISTINCT doc_id) AS documents, (SELECT count(*) FROM documents) - count(DISTINCT doc_id) AS missing FROM spans GROUP BY 1")(
+    lambda t: t.spans.groupBy("detector").agg(F.countDistinct("doc_id").alias("documents")).crossJoin(F.broadcast(t.docs.agg(F.count(F.lit(1)).alias("all_")))).selectExpr("detector", "documents", "all_ - documents as missing")
+)
+query("shared_identities", "type:S n:L", "SELECT type, count(*) AS n FROM (SELECT type, entity FROM gold WHERE doc_id % 2 = 0 INTERSECT SELECT type, entity FROM gold WHERE doc_id % 2 = 1) GROUP BY 1")(
+    lambda t: t.gold.groupBy("type", "entity").agg(F.countDistinct(F.expr("doc_id % 2")).alias("k")).where("k = 2").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+)
+query("documents_per_identity", "docs:L identities:L", "SELECT docs, count(*) AS identities FROM (SELECT entity, count(DISTINCT doc_id) AS docs FROM gold GROUP BY 1) GROUP BY 1")(
+    lambda t: t.gold.groupBy("entity").agg(F.countDistinct("doc_id").alias("docs")).groupBy("docs").agg(F.count(F.lit(1)).alias("identities"))
+)
+query(
+    "duplicate_leak", "half:S documents:L leaked:L",
+    f"""WITH h AS (SELECT doc_id, sha1({_FOLDED}) AS d, CASE WHEN doc_id % 2 = 0 THEN 'gallery' ELSE 'query' END AS half FROM documents)
+    SELECT half, count(*) AS documents, count(*) FILTER (k = 2) AS leaked FROM (SELECT h.half, x.k FROM h JOIN (SELECT d, count(DISTINCT half) AS k FROM h GROUP BY 1) x USING (d)) GROUP BY 1""",
+)(
+    lambda t: t.docs.selectExpr(f"sha1({dedup._FOLD}) as d", "if(doc_id % 2 = 0, 'gallery', 'query') as half").groupBy("d", "half").agg(F.count(F.lit(1)).alias("n"))
+    .groupBy("d").agg(F.sum(F.expr("if(half = 'gallery', n, 0)")).alias("g"), F.sum(F.expr("if(half = 'query', n, 0)")).alias("q"))
+    .selectExpr("inline(array(struct('gallery' as half, g as n, if(q > 0, g, 0) as l), struct('query' as half, q as n, if(g > 0, q, 0) as l)))").groupBy("half").agg(F.sum("n").alias("documents"), F.sum("l").alias("leaked"))
+)
+query(
+    "clipped_or_missed", "outcome:S n:L",
+    """SELECT outcome, count(*) AS n FROM (SELECT g.doc_id, g.ord, CASE WHEN max((s.start <= g.start AND s."end" >= g."end")::INT) = 1 THEN 'covered' WHEN count(s.doc_id) > 0 THEN 'clipped' ELSE 'missed' END AS outcome
+    FROM gold g LEFT JOIN spans s ON s.doc_id = g.doc_id AND s.detector IN ('pair', 'digits') AND s."end" > g.start AND s.start < g."end" GROUP BY 1, 2) GROUP BY 1""",
+)(
+    lambda t: t.gold.alias("g").join(t.spans.where("detector in ('pair', 'digits')").alias("s"), F.expr("g.doc_id = s.doc_id and s.end > g.start and s.start < g.end"), "left")
+    .groupBy("g.doc_id", "g.ord").agg(F.max(F.expr("s.start <= g.start and s.end >= g.end")).alias("whole"), F.count("s.doc_id").alias("k"))
+    .selectExpr("case when whole then 'covered' when k > 0 then 'clipped' else 'missed' end as outcome").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+)
+query(
+    "detector_agreement", "a:S b:S n:L",
+    'SELECT a.detector AS a, b.detector AS b, count(*) AS n FROM covered a JOIN covered b ON a.doc_id = b.doc_id AND a.ord = b.ord AND a.detector <= b.detector GROUP BY 1, 2',
+)(
+    lambda t: t.tokens.alias("t").join(t.spans.alias("s"), F.expr("t.doc_id = s.doc_id and t.end > s.start and t.start < s.end")).groupBy("t.doc_id", "t.ord").agg(F.array_sort(F.collect_set("s.detector")).alias("d"))
+    .groupBy("d").agg(F.count(F.lit(1)).alias("k")).selectExpr("d", "k", "explode(d) as a").selectExpr("a", "k", "explode(filter(d, x -> x >= a)) as b").groupBy("a", "b").agg(F.sum("k").alias("n"))
+)
+query(
+    "multilabel_f1", "condition:S tp:L n_ref:L n_got:L f1:D",
+    f"SELECT condition, sum(score * ref) AS tp, sum(ref) AS n_ref, sum(score) AS n_got, 2 * sum(score * ref) / (sum(ref) + sum(score)) AS f1 FROM ({_PAIRED.format(_QUALITY)}) GROUP BY 1",
+)(lambda t: stats.paired(t.quality).groupBy("condition").agg(F.sum(F.col("score") * F.col("ref")).alias("tp"), F.sum("ref").alias("n_ref"), F.sum("score").alias("n_got")).selectExpr("*", "2 * tp / (n_ref + n_got) as f1"))
+query(
+    "deciles", "decile:L documents:L least:L most:L",
+    "SELECT decile, count(*) AS documents, min(n_chars) AS least, max(n_chars) AS most FROM (SELECT n_chars, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) * 10 // count(*) OVER () + 1 AS decile FROM documents) GROUP BY 1",
+)(
+    lambda t: t.docs.groupBy("n_chars").agg(F.count(F.lit(1)).alias("k")).selectExpr("n_chars", "k", "sum(k) over (order by n_chars) - k as before", "sum(k) over () as m")
+    .selectExpr("n_chars", "m", "explode(sequence(before, before + k - 1)) as r").groupBy(F.expr("r * 10 div m + 1").alias("decile")).agg(F.count(F.lit(1)).alias("documents"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+)

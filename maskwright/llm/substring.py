@@ -189,9 +189,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, s
     rows = docs.select("doc_id", "text", _mark("text").alias("mark"))
     schema = f"anchor long, content long, doc_id {kind}, at long"
     pieces = scratch.keep(rows.mapInArrow(_pieces(window, seed), schema), "pieces")
-    often = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
+    # written first: a join can split a hot key only where both sides are plain shuffles
+    often = scratch.keep(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"), "often")
     shared = scratch.keep(pieces.join(often, "anchor"), "shared")
-    scratch.drop(pieces)
+    scratch.drop(pieces, often)
 
     first = F.min(F.struct("doc_id", "at")).alias("first")
     classes = shared.groupBy("anchor", "content").agg(first, F.count(F.lit(1)).alias("times"))
@@ -210,13 +211,15 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, s
     place = lambda c: F.shiftright(c, 8).bitwiseAND(F.lit((1 << 39) - 1))
     whole = scratch.keep(later(shared, classes), "whole")
     scratch.drop(shared, classes)
-    found = whole.unionAll(later(edges, edges.groupBy("anchor", "content").agg(first, F.count(F.lit(1)).alias("times"))))
+    firsts = edges.groupBy("anchor", "content").agg(first, F.count(F.lit(1)).alias("times")).where("times > 1")
+    firsts = scratch.keep(firsts, "firsts")
+    found = whole.unionAll(later(edges, firsts))
     found = found.select(
         "doc_id", F.shiftright("at", 47).alias("mark"), place("at").alias("place"), F.col("at").bitwiseAND(F.lit(255)).alias("size"),
         "src_id", F.shiftright("src_at", 47).alias("src_mark"), place("src_at").alias("src_place"),
     )
     spans = scratch.keep(_compacted(found, window), "spans")
-    scratch.drop(whole, edges)
+    scratch.drop(whole, edges, firsts)
     return _verified(spark, scratch, rows, spans)
 
 

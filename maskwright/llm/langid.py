@@ -11,6 +11,10 @@ at most about ``PER_LANGUAGE`` labelled documents of each language (chosen by
 hashed id) and ``TRAIN_WORDS`` words of each.  Language, source and id are never
 inputs.
 
+``accepted`` rejects texts that score lower than all but ``REJECTED`` of held-out
+documents of known language do, so the bar follows the model and the number of
+languages; with one language every score is 1 and only letterless texts go.
+
 Cases: null text, or text without a letter, is ``und`` with score 0; texts are
 read whole; a null id is not held out and not learned from; repeated rows are
 labelled each; without any labelled text every document is ``und``; only the
@@ -35,6 +39,8 @@ HIDDEN, LONGEST = 16, 24
 STEPS, BATCH, RATE = 400, 768, 0.02
 CACHED = 400_000
 UNKNOWN = "und"
+#: Share of rightly labelled held-out documents that may score too low for ``accepted``.
+REJECTED = 0.005
 #: Documents whose remainder is this one are held out.
 FOLDS, HELD = 4, 2
 
@@ -159,17 +165,24 @@ def train(samples: list[tuple[bytes, int]], languages: int, steps: int = STEPS,
     return p
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """About ``per_language`` (language, start of text) pairs of each language, by hashed id; never of held-out rows."""
+def _chosen(docs: DataFrame, held: bool, per_language: int) -> tuple[DataFrame, int] | None:
+    """``lang, text, at`` of about ``per_language`` labelled documents of each language, by hashed id, and a bound on their number; held-out rows only, or none of them."""
     remainder = F.expr(f"crc32(cast(doc_id as string)) % {FOLDS}")
-    usable = docs.where((remainder != HELD) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    usable = docs.where(((remainder == HELD) if held else (remainder != HELD)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
-        return []
+        return None
     ids = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     bound = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1 << 30, -(-(per_language << 30) // n)))))
-    rows = usable.where(ids < bound[F.col("lang")]).select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text"), ids.alias("at"))
-    rows = rows.limit(4 * per_language * len(counts)).collect()
+    return usable.where(ids < bound[F.col("lang")]).select("lang", "text", ids.alias("at")), 4 * per_language * len(counts)
+
+
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
+    """About ``per_language`` (language, start of text) pairs of each language, by hashed id; never of held-out rows."""
+    chosen = _chosen(docs, False, per_language)
+    if chosen is None:
+        return []
+    rows = chosen[0].select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text"), "at").limit(chosen[1]).collect()
     return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["at"], r["lang"], r["text"]))]
 
 
@@ -270,11 +283,26 @@ def identify_language(
     return out.withColumnsRenamed({LANG: "lang_pred", SCORE: "score"})
 
 
-def accepted(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """The rows of ``docs(doc_id, text, lang, ...)`` that get a language with at least this score, all columns; null languages are filled in."""
-    names, p = fit(sample(docs.select("doc_id", "text", "lang")))
+def least_score(docs: DataFrame, names: list[str], p: Params, share: float = REJECTED) -> float:
+    """The score that all but ``share`` of the rightly labelled held-out documents reach (whole texts; training documents where none is held out)."""
+    for held in (True, False):
+        chosen = _chosen(docs, held, PER_LANGUAGE)
+        if chosen is None:
+            continue
+        scored = chosen[0].select("lang", "text").mapInArrow(_predict(names, p), f"lang string, {LANG} string, {SCORE} double")
+        scores = sorted(r[0] for r in scored.where(F.col("lang") == F.col(LANG)).select(SCORE).limit(chosen[1]).collect())
+        if scores:
+            return scores[int(share * len(scores))]
+    return 0.0
+
+
+def accepted(docs: DataFrame, least: float | None = None) -> DataFrame:
+    """The rows of ``docs(doc_id, text, lang, ...)`` that get a language with at least this score (``least_score`` unless given), all columns; null languages are filled in."""
+    labelled = docs.select("doc_id", "text", "lang")
+    names, p = fit(sample(labelled))
     if not names:
         return docs.limit(0)
+    least = least_score(labelled, names, p) if least is None else least
     schema = T.StructType([*docs.schema, T.StructField(LANG, T.StringType()), T.StructField(SCORE, T.DoubleType())])
     out = docs.mapInArrow(_predict(names, p, True), schema).where((F.col(LANG) != UNKNOWN) & (F.col(SCORE) >= least))
     return out.withColumn("lang", F.coalesce("lang", LANG)).drop(LANG, SCORE)

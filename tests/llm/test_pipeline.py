@@ -15,3 +15,20 @@ def test_stages(spark, monkeypatch):
         kept.append(sorted(r.doc_id for r in docs.collect()))
     assert kept[0] == [1, 2, 4, 6] and kept[1][0] == 1 and 2 not in kept[1]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == len(kept[-1])
+
+
+def test_gibberish_is_rejected(spark, monkeypatch):
+    import numpy as np
+
+    from maskwright.llm import langid
+
+    monkeypatch.setattr(langid, "STEPS", 120)
+    rng = np.random.default_rng(4)
+    speak = lambda parts, size: " ".join("".join(rng.choice(parts, size)) for _ in range(40))
+    said = {"en": ["the", "ing", "er"], "es": ["ção", "ñu", "lla"], "de": ["sch", "ung", "ck"], "fr": ["eau", "oi", "que"], "it": ["zio", "gli", "ma"]}
+    for langs in (list(said)[:4], list(said)):
+        rows = [(i, speak(said[lang], 3), lang, "s", 9) for i, lang in enumerate(x for x in langs for _ in range(40))]
+        junk = [(1000 + i, speak(list("bcdfghjklmnpqrstvwxz"), 7), None, "s", 9) for i in range(10)]
+        kept = {r.doc_id for r in langid.accepted(spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+        assert not [i for i in kept if i >= 1000]
+        assert len(kept) >= 0.95 * len(rows)

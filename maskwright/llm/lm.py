@@ -3,17 +3,17 @@
 Tokens are the words of a text, ASCII letters lower-cased, then one end; words
 are known by a 64-bit hash.  Level one holds every training token: hashes as
 Elias-Fano sequences in shards by leading bits, and exact counts as the steps
-of a second monotone sequence.  Level two holds the bigrams seen twice or more
-of frequent words (a share of at least ``FREQUENT`` of all tokens, so at most
-``1 / FREQUENT`` words): contexts, monotone pointers to their successors, and
-successors made monotone by their context's place.  A bigram is found by
-successor search inside its context's pointer range.  Its smoothed probability
-(absolute discounting, interpolated with level one) and the context's back-off
-weight are quantised to a byte.
+of a second monotone sequence.  Level two holds every bigram seen ``LEAST``
+times or more, in shards by leading bits of the context's hash: contexts,
+monotone pointers to their successors, and successors (places in level one)
+made monotone by their context's place.  A bigram is found by successor search
+inside its context's pointer range.  Its smoothed probability (absolute
+discounting, interpolated with level one) and the context's back-off weight are
+quantised to a byte.
 
 All counts cover all training documents.  Executors build the levels as files
-in the shared folder and memory-map them to score; the driver sees one row per
-shard and the bounded list of frequent words.
+in the shared folder and memory-map them to build on and to score; the driver
+sees one row per shard.
 
 Cases: null text is empty and scores its end; a null id is neither held out nor
 learned from; repeated rows count and are scored each; an empty table gives an
@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._elias import EliasFano, load, save
@@ -38,8 +38,8 @@ from ._shared import Scratch, new_path
 from ._words import slices, split_words, word_hashes
 
 HELD, FOLDS = 0, 10
-FREQUENT, DISCOUNT, LEAST = 1e-5, 0.5, 2
-SHARD, SHARD2 = 1 << 20, 1 << 21
+DISCOUNT, LEAST = 0.5, 2
+SHARD, SHARD2, PIECE = 1 << 20, 1 << 21, 1 << 16
 ADD = 0.1
 #: Reserved hashes of the end, and of the start as a context.
 END, START = 0, 1
@@ -108,41 +108,32 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def _count_pairs(frequent: np.ndarray):
-    """Pairs of frequent words by rank; rank 0 is the end and 1 the start."""
-    width = np.uint64(max(1, int(len(frequent) - 1).bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter()
-
-        def rows() -> pa.RecordBatch:
-            keys, n = counter.take()
-            return pa.RecordBatch.from_arrays([pa.array((keys >> width).astype(np.int64)), pa.array((keys & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64)), pa.array(n)], ["u", "w", "n"])
-
-        for batch in batches:
-            for part in slices(batch):
-                tokens, bounds = _tokens(part)
-                rank = _ranks(frequent, tokens)
-                before = _before(rank, bounds)
-                both = (rank >= 0) & (before >= 0)
-                counter.add((before[both].astype(np.uint64) << width) | rank[both].astype(np.uint64))
-                if counter.size > 3_000_000:
-                    yield rows()
-        yield rows()
-
-    return run
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.Table] = []
 
+    def rows() -> Iterator[pa.RecordBatch]:
+        if held:
+            merged = pa.concat_tables(held).group_by(["u", "w"], use_threads=False).aggregate([("n", "sum")])
+            held.clear()
+            pa.default_memory_pool().release_unused()
+            yield from merged.select(["u", "w", "n_sum"]).rename_columns(["u", "w", "n"]).combine_chunks().to_batches(1 << 18)
 
-def _ranks(frequent: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-    return np.where(frequent[at] == tokens, at, -1)
-
-
-def _before(rank: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Each token's context: the rank before it, the start's at a text's first token."""
-    out = np.empty(len(rank), np.int64)
-    out[1:] = rank[:-1]
-    out[bounds[:-1]] = START
+    for batch in batches:
+        for part in slices(batch):
+            tokens, bounds = _tokens(part)
+            pairs = pa.table({"u": _signed(_before(tokens, bounds)), "w": _signed(tokens), "n": np.ones(len(tokens), np.int64)})
+            counted = pairs.group_by(["u", "w"], use_threads=False).aggregate([("n", "sum")])
+            held.append(counted.select(["u", "w", "n_sum"]).rename_columns(["u", "w", "n"]))
+            if sum(map(len, held)) > 1_000_000:
+                yield from rows()
+    yield from rows()
+
+
+def _before(tokens: np.ndarray, bounds: np.ndarray, start: int = START) -> np.ndarray:
+    """Each token's context: the token before it, the start's at a text's first token."""
+    out = np.empty_like(tokens)
+    out[1:] = tokens[:-1]
+    out[bounds[:-1]] = start
     return out
 
 
@@ -172,40 +163,59 @@ def _level_one(folder: str, bits: int):
             total = np.concatenate([[0], np.cumsum(rows.column("n").to_numpy())])
             path = f"{folder}/one-{shard}-{uuid.uuid4().hex}.ef"
             save(path, EliasFano.build(local, universe).arrays("key") | EliasFano.build(total, int(total[-1]) + 1).arrays("sum"))
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "size": pa.array([len(local)], pa.int64())})
 
     return run
 
 
-def _level_two(folder: str, frequent: np.ndarray, counts: np.ndarray, unigram: np.ndarray):
-    """Builds a shard: contexts, pointers, successors, byte codes.  ``counts`` and ``unigram`` are by rank."""
+def _level_two(folder: str, trie: Trie, bits: int):
+    """Builds a shard: contexts, pointers, successors, byte codes, with counts from level one."""
+
+    def build(shard: int, rows: pa.Table) -> str:
+        u, w, n = _unsigned(rows.column("u").to_numpy()), _unsigned(rows.column("w").to_numpy()), rows.column("n").to_numpy()
+        context, first = np.unique(u, return_index=True)
+        pointer = np.append(first, len(u))
+        owner = np.repeat(np.arange(len(context)), np.diff(pointer))
+        word, at = np.unique(w, return_inverse=True)
+        place, count = trie.find(word)
+        often = trie.find(np.where(context == START, np.uint64(END), context))[1]  # a text starts as often as it ends
+        seen = (n - DISCOUNT) / often[owner]
+        backoff = np.maximum(1 - np.add.reduceat(seen, first), 1e-4)
+        code_b = np.clip(np.round(-np.log10(backoff) * B_STEP), 0, 255)
+        p = seen + backoff[owner] * (10 ** trie.unigram(count))[at]
+        code_p = np.clip(np.round(-np.log10(p) * P_STEP), 0, 255)
+        universe = 1 << (64 - bits)
+        arrays = EliasFano.build(context & np.uint64(universe - 1), universe).arrays("context") | EliasFano.build(pointer, len(u) + 1).arrays("pointer")
+        arrays |= EliasFano.build(owner * trie.distinct + place[at], len(context) * trie.distinct).arrays("next")
+        arrays |= {"p": code_p.astype(np.uint8), "b": code_b.astype(np.uint8)}
+        path = f"{folder}/two-{shard}-{uuid.uuid4().hex}.ef"
+        save(path, arrays)
+        return path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _grouped(batches, "shard"):
-            u, w, n = (rows.column(c).to_numpy() for c in ("u", "w", "n"))
-            context, first = np.unique(u, return_index=True)
-            pointer = np.append(first, len(u))
-            owner = np.repeat(np.arange(len(context)), np.diff(pointer))
-            seen = (n - DISCOUNT) / counts[u]
-            backoff = np.maximum(1 - np.add.reduceat(seen, first), 1e-4)
-            code_b = np.clip(np.round(-np.log10(backoff) * B_STEP), 0, 255)
-            p = seen + backoff[owner] * unigram[w]
-            code_p = np.clip(np.round(-np.log10(p) * P_STEP), 0, 255)
-            arrays = EliasFano.build(context, len(frequent)).arrays("context") | EliasFano.build(pointer, len(u) + 1).arrays("pointer")
-            arrays |= EliasFano.build(owner * len(frequent) + w, len(context) * len(frequent)).arrays("next")
-            arrays |= {"p": code_p.astype(np.uint8), "b": code_b.astype(np.uint8)}
-            path = f"{folder}/two-{shard}-{uuid.uuid4().hex}.ef"
-            save(path, arrays)
+            path = build(shard, rows)
+            del rows
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path]})
 
     return run
 
 
+def _dealt(tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of tokens in order of their shards, by leading bits, and where each shard begins."""
+    shard = (tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange((1 << bits) + 1))
+
+
 class Trie:
     """The levels, opened on first use."""
 
-    def __init__(self, one: dict[int, str], bits: int, two: dict[int, str], total: int, distinct: int, frequent: np.ndarray):
-        self.one, self.bits, self.two, self.total, self.distinct, self.frequent = one, bits, two, total, distinct, frequent
+    def __init__(self, one: dict[int, str], bits: int, sizes: dict[int, int], total: int, distinct: int):
+        self.one, self.bits, self.total, self.distinct = one, bits, total, distinct
+        self.offset = {s: sum(n for t, n in sizes.items() if t < s) for s in sizes}
+        self.two: dict[int, str] = {}
+        self.bits_two = 0
         self._open: dict[str, dict] = {}
 
     def __getstate__(self) -> dict:
@@ -217,37 +227,38 @@ class Trie:
             self._open[path] = {n: EliasFano.load(arrays, n) for n in names} | {k: v for k, v in arrays.items() if k in ("p", "b")}
         return self._open[path]
 
-    def counts(self, tokens: np.ndarray) -> np.ndarray:
-        """Exact training counts (0: unseen)."""
-        out = np.zeros(len(tokens), np.int64)
-        shard = (tokens >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(tokens), np.int64)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange((1 << self.bits) + 1))
+    def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in level one (-1: unseen) and exact training counts."""
+        out, place = np.zeros(len(tokens), np.int64), np.full(len(tokens), -1, np.int64)
+        order, cuts = _dealt(tokens, self.bits)
         for s, path in self.one.items():
             pick = order[cuts[s] : cuts[s + 1]]
             if not len(pick):
                 continue
             level = self._level(path, "key", "sum")
-            at = level["key"].find(tokens[pick] & np.uint64((1 << (64 - self.bits)) - 1))
-            hit = at >= 0
-            at = at[hit]
-            out[pick[hit]] = (level["sum"].access(at + 1) - level["sum"].access(at)).astype(np.int64)
-        return out
+            for i in range(0, len(pick), PIECE):  # the search takes some hundred bytes a token
+                some = pick[i : i + PIECE]
+                at = level["key"].find(tokens[some] & np.uint64((1 << (64 - self.bits)) - 1))
+                hit = at >= 0
+                at = at[hit]
+                place[some[hit]] = at + self.offset[s]
+                out[some[hit]] = (level["sum"].access(at + 1) - level["sum"].access(at)).astype(np.int64)
+        return place, out
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + ADD) / (self.total + ADD * (self.distinct + 1)))
 
     def pairs(self, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 P(w | u) where the trie holds the pair of ranks (else nan), and the context's log10 back-off weight (else 0)."""
+        """log10 P(w | u) where the trie holds the pair of a token and a place in level one (else nan), and the context's log10 back-off weight (else 0)."""
         p, b = np.full(len(u), np.nan), np.zeros(len(u))
-        shard = u % max(1, len(self.two))
+        order, cuts = _dealt(u, self.bits_two)
         for s, path in self.two.items():
-            pick = np.flatnonzero((u >= 0) & (shard == s))
+            pick = order[cuts[s] : cuts[s + 1]]
             if not len(pick):
                 continue
             level = self._level(path, "context", "pointer", "next")
             contexts, at = np.unique(u[pick], return_inverse=True)
-            place = level["context"].find(contexts)
+            place = level["context"].find(contexts & np.uint64((1 << (64 - self.bits_two)) - 1))
             known = place >= 0
             lo, hi = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
             lo[known], hi[known] = level["pointer"].access(place[known]).astype(np.int64), level["pointer"].access(place[known] + 1).astype(np.int64)
@@ -255,7 +266,7 @@ class Trie:
             b[pick[some]] = -level["b"][place[at[some]]].astype(float) / B_STEP
             some &= w[pick] >= 0
             pick, at = pick[some], at[some]
-            got = level["next"].find(place[at] * len(self.frequent) + w[pick], lo[at], hi[at])
+            got = level["next"].find(place[at] * self.distinct + w[pick], lo[at], hi[at])
             hit = got >= 0
             p[pick[hit]] = -level["p"][got[hit]].astype(float) / P_STEP
         return p, b
@@ -267,13 +278,11 @@ def _score(trie: Trie):
             for part in slices(batch):
                 tokens, bounds = _tokens(part)
                 distinct, at = np.unique(tokens, return_inverse=True)
-                counts = trie.counts(distinct)
+                places, counts = trie.find(distinct)
                 base = trie.unigram(counts)[at]
-                rank = _ranks(trie.frequent, distinct)[at]
-                before = _before(rank, bounds)
-                size = len(trie.frequent)
-                pair, of = np.unique((before + 1) * (size + 1) + rank + 1, return_inverse=True)
-                p, b = trie.pairs(pair // (size + 1) - 1, pair % (size + 1) - 1)
+                size = len(distinct)
+                pair, of = np.unique(_before(at, bounds, size) * size + at, return_inverse=True)
+                p, b = trie.pairs(np.append(distinct, np.uint64(START))[pair // max(size, 1)], places[pair % max(size, 1)])
                 p = p[of]
                 score = np.where(np.isnan(p), b[of] + base, p)
                 sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[bounds])
@@ -288,7 +297,7 @@ def _score(trie: Trie):
     return run
 
 
-def build_trie(spark: SparkSession, train: DataFrame, frequent_share: float = FREQUENT, least: int = LEAST) -> Trie:
+def build_trie(spark: SparkSession, train: DataFrame, least: int = LEAST) -> Trie:
     """``train(text)`` -> the trie, its levels written to the shared folder."""
     scratch = Scratch(spark)
     folder = new_path(spark, "trie")
@@ -298,38 +307,26 @@ def build_trie(spark: SparkSession, train: DataFrame, frequent_share: float = FR
     counted = scratch.keep(counted, "tokens")
     total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     bits = max(0, (distinct // SHARD).bit_length())
-    shard = F.expr(f"cast(shiftright(token, {64 - bits}) + {1 << max(bits - 1, 0)} as int)" if bits else "0")  # of the order-keeping signed form
-    shards = counted.withColumn("shard", shard)
+    shards = counted.withColumn("shard", _shard("token", bits))
     shards = shards.repartition(max(1, min(1 << bits, 2000)), "shard").sortWithinPartitions("shard", "token")
-    one = scratch.keep(shards.mapInArrow(_level_one(folder, bits), "shard int, path string"), "one")
-    often = counted.where(F.col("n") >= max(1.0, frequent_share * total)).collect()  # at most 1 / frequent_share rows
+    one = scratch.keep(shards.mapInArrow(_level_one(folder, bits), "shard int, path string, size long"), "one").collect()
     scratch.drop(counted)
 
-    key = _unsigned(np.array([r["token"] for r in often], np.int64))
-    count = np.array([r["n"] for r in often], np.int64)
-    ends = int(count[key == END].sum()) if len(key) else 0
-    key, count = np.append(key[key != END], np.array([END, START], np.uint64)), np.append(count[key != END], [ends, ends])
-    order = np.argsort(key)
-    frequent, count = key[order], count[order]
-    trie = Trie({r["shard"]: r["path"] for r in one.collect()}, bits, {}, int(total), int(distinct), frequent)
-    pairs = train.select("text").mapInArrow(_count_pairs(frequent), "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    trie = Trie({r["shard"]: r["path"] for r in one}, bits, {r["shard"]: r["size"] for r in one}, int(total), int(distinct))
+    pairs = train.select("text").mapInArrow(_count_pairs, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     pairs = scratch.keep(pairs, "pairs")
-    n_shards = pairs.count() // SHARD2 + 1
-    unigram = 10 ** trie.unigram(count)
-    pairs = pairs.withColumn("shard", F.expr(f"cast(u % {n_shards} as int)")).repartition(n_shards, "shard").sortWithinPartitions("shard", "u", "w")
-    two = scratch.keep(pairs.mapInArrow(_level_two(folder, frequent, np.maximum(count, 1), unigram), "shard int, path string"), "two")
-    trie.two = _filled(dict.fromkeys(range(n_shards), "") | {r["shard"]: r["path"] for r in two.collect()}, folder, len(frequent))
+    bits = max(0, (pairs.count() // SHARD2).bit_length())
+    shards = pairs.withColumn("shard", _shard("u", bits))
+    shards = shards.repartition(max(1, min(1 << bits, 2000)), "shard").sortWithinPartitions("shard", "u", "w")
+    two = scratch.keep(shards.mapInArrow(_level_two(folder, trie, bits), "shard int, path string"), "two")
+    trie.two, trie.bits_two = {r["shard"]: r["path"] for r in two.collect()}, bits
+    scratch.drop(pairs)
     return trie
 
 
-def _filled(two: dict[int, str], folder: str, size: int) -> dict[int, str]:
-    """Shards without rows get an empty file, so that a context's shard is its rank modulo their number."""
-    empty = np.zeros(0, np.int64)
-    for s, path in two.items():
-        if not path:
-            two[s] = f"{folder}/two-{s}-empty.ef"
-            save(two[s], EliasFano.build(empty, size).arrays("context") | EliasFano.build(np.zeros(1, np.int64), 1).arrays("pointer") | EliasFano.build(empty, 1).arrays("next") | {"p": np.zeros(0, np.uint8), "b": np.zeros(0, np.uint8)})
-    return two
+def _shard(c: str, bits: int) -> Column:
+    """Leading bits of the order-keeping signed form."""
+    return F.expr(f"cast(shiftright({c}, {64 - bits}) + {1 << max(bits - 1, 0)} as int)" if bits else "0")
 
 
 def lm_score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

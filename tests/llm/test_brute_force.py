@@ -232,6 +232,18 @@ def test_lm(spark, docs, monkeypatch):
         assert abs(score - r.score) <= 0.02 * len(w) + 1e-6, (i, score, r.score)
 
 
+def test_lm_keeps_rare_bigrams(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 10]
+    common = " ".join(f"f{i % 7}" for i in range(50_000))  # 400,000 tokens: three occurrences are under 1e-5 of them
+    rows = [(i, common) for i in ids[:8]] + [(i, "zeta omega") for i in ids[8:11]]
+    got = {r.doc_id: r for r in lm.lm_score(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in ids[8:11]:
+        n, c, v = 8 * 50_001 + 9, {"zeta": 3, "omega": 3, "end": 11}, 10
+        base = lambda x: (c[x] + 0.1) / (n + 0.1 * (v + 1))
+        want = math.log10(2.5 / 11 + 1.0 * base("zeta") * (1 - 2.5 / 11 - 7.5 / 11)) + math.log10(2.5 / 3 + base("omega") / 6) + math.log10(2.5 / 3 + base("end") / 6)
+        assert abs(got[i].score - want) <= 0.06, (got[i].score, want)
+
+
 def test_gru_gradient():
     p = langid.init(3, hidden=4, kind=np.float64)
     rng = np.random.default_rng(0)

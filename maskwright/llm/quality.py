@@ -3,13 +3,17 @@
 Rules count words, symbols, repeated lines and words of repeated three-word
 windows.  The verdict compares two multinomials over hashed word unigrams and
 bigrams: one of trusted documents, one of the whole corpus.  A document's score
-is the mean log ratio of its n-grams; it passes at or above a threshold that
-all but a set share of the trusted documents reach.  Log ratios are fixed-point
-integers, so sums don't depend on the order of rows.
+is the mean log ratio of its n-grams; it passes at or above the threshold that
+best parts good from toxic or bad among labelled documents held out of the fit
+(greatest share of bad ones rejected less share of good ones lost; the lowest of
+equal ones).  Log ratios are fixed-point integers, so sums don't depend on the
+order of rows.
 
 The corpus model counts every document.  The trusted model is fitted on at most
 ``TRUSTED`` labelled documents (least hashed ids first); their ids, and the
-table of ``2**BITS`` log ratios, are the only things broadcast.
+table of ``2**BITS`` log ratios, are the only things broadcast.  The threshold
+counts every held-out labelled document; without good or without bad ones, all
+but ``SHARE`` of the held-out good, else of the trusted documents reach it.
 
 Cases: null text has no words and fails; the rules hold for texts of any
 length; a null id is scored but never trusted; rows repeating id and text get
@@ -27,7 +31,9 @@ from ._shared import Scratch
 TRUSTED = 20_000
 BITS = 16
 SCALE = 1_000_000
-#: Share of trusted documents that may score below the threshold, and the step of scores counted for it.
+#: Labelled documents whose remainder is this one are held out of the fit.
+FOLDS, HELD = 4, 2
+#: Share of good documents that may score below the threshold where no bad ones are labelled, and the step of scores counted for it.
 SHARE, STEP = 0.002, 0.001
 #: Rules: fewer words than this, or more than this per cent of words in repeated windows, fail.
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -72,11 +78,35 @@ def _grams(docs: DataFrame, bits: int, *carry: str) -> DataFrame:
 
 
 def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
-    """At most ``limit`` ids of labelled good, not toxic documents."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
+    """At most ``limit`` ids of labelled good, not toxic documents that are not held out."""
+    good = labels.where(f"crc32(cast(doc_id as string)) % {FOLDS} != {HELD}").where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
+def held_out(labels: DataFrame) -> DataFrame:
+    """``doc_id, bad``: held-out labelled documents; bad are the toxic ones and those of low quality."""
+    rows = labels.where(f"crc32(cast(doc_id as string)) % {FOLDS} = {HELD}").selectExpr("doc_id", "case when quality = 0 or toxic = 1 then 1 when quality = 1 then 0 end as bad")
+    return rows.where("bad is not null").groupBy("doc_id").agg(F.max("bad").alias("bad"))
+
+
+def parting(steps: list[tuple[int, int, int]], share: float) -> int | None:
+    """Of sorted ``(step, good, bad)`` the step at which to start keeping; None without good ones."""
+    good, bad = sum(s[1] for s in steps), sum(s[2] for s in steps)
+    if not good:
+        return None
+    lost = cut = 0
+    best, at = None, None
+    for step, g, b in steps:
+        if bad:
+            gain = cut * good - lost * bad
+            if best is None or gain > best:
+                best, at = gain, step
+        elif lost + g > share * good:
+            return step
+        lost, cut = lost + g, cut + b
+    return at if bad else steps[-1][0]
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> DataFrame:
     """``bucket, ratio``: fixed-point log of trusted over corpus probability (add-half smoothing), one row per bucket."""
     flagged = docs.join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left").select("text", "good")
@@ -100,13 +130,12 @@ def quality_rules(
     marked = rows.selectExpr("doc_id", "text", f"xxhash64({_TEXT}) as mark")
     scores = _grams(marked, bits, "doc_id", "mark").join(F.broadcast(ratios), "bucket").groupBy("doc_id", "mark")
     scores = scratch.keep(scores.agg(F.sum("ratio").alias("total"), F.count(F.lit(1)).alias("n")).selectExpr("doc_id", "mark", f"total / n / {SCALE} as llr"), "scores")
-    steps = scores.join(F.broadcast(trusted), "doc_id").groupBy(F.floor(F.col("llr") / STEP).alias("step")).agg(F.count(F.lit(1)).alias("n"))
-    steps = sorted(tuple(r) for r in steps.collect())  # a row for each step of a bounded range of scores
-    below, least, threshold = 0, share * sum(n for _, n in steps), 0.0
-    for step, n in steps:
-        threshold = step * STEP
-        below += n
-        if below > least:
+    threshold = 0.0
+    for marks in (held_out(labels), F.broadcast(trusted.withColumn("bad", F.lit(0)))):
+        steps = scores.join(marks, "doc_id").groupBy(F.floor(F.col("llr") / STEP).alias("step")).agg(F.count_if(F.col("bad") == 0), F.count_if(F.col("bad") == 1))
+        step = parting(sorted(tuple(r) for r in steps.collect()), share)  # a row for each step of a bounded range of scores
+        if step is not None:
+            threshold = step * STEP
             break
     out = base_rules(rows).withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT} * n_words"))
     got = scores.select(F.col("doc_id").alias("id2"), F.col("mark").alias("mark2"), "llr")

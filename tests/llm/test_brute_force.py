@@ -196,6 +196,16 @@ def test_quality(spark, docs):
             assert r.kept == (not r.base_failed and r.llr >= r.threshold)
 
 
+def test_quality_rejects_toxic(spark):
+    rng = np.random.default_rng(3)
+    say = lambda i, bad: " ".join("vile" if bad and k % 20 == 0 else f"w{rng.integers(0, 40)}" for k in range(120))
+    rows = [(i, say(i, i % 3 == 0)) for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality.quality_rules(spark, spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert sum(not got[i] for i in got if i % 3 == 0) >= 95
+    assert sum(got[i] for i in got if i % 3) >= 190
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, universe in ((1, 1), (1, 5), (1000, 1 << 44), (1000, 1000), (3000, 70000), (300, 1 << 63)):

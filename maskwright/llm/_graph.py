@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ._shared import Scratch
 
 
-def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` of one comparable type -> ``(node, root)``, root being the smallest node reachable.
 
     Nodes without an edge to another node do not appear.  Loops, repeated edges
@@ -22,7 +22,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
     scratch = Scratch(spark)
     now = scratch.keep(edges.where("a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct(), "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:  # until a round changes nothing
         mark = now.selectExpr("count(1)", "bit_xor(xxhash64(u, v))", "sum(cast(xxhash64(v, u) as decimal(38, 0)))").first()
         if not mark[0] or mark == seen:
             break

@@ -5,19 +5,23 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Written or freed tables of this size make the JVM's cleaner run, which deletes shuffle files nobody reads any more.
+TIDY_BYTES = 64 << 20
+
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder of our own only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; a local folder of our own only where it is unset and the master is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="maskwright-"))
     return _own[0]
@@ -27,49 +31,47 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def remove(spark: SparkSession, *paths: str) -> None:
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def free_prefix(columns: Iterable[str]) -> str:
+    """A prefix that no column begins with, for internal names beside a caller's columns."""
+    taken, prefix = [c.lower() for c in columns], "__"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return prefix
 
 
 class Scratch:
     """Writes cut lineage at a table; ``drop`` frees a table once nothing lazy reads it.
 
-    A written table survives the loss of any executor.  Freeing also lets the
-    JVM's cleaner delete the shuffle files that only fed the table.
+    A written table survives the loss of any executor.  Shuffle files that only
+    fed a written table go when the JVM's cleaner sees that nothing refers to
+    them, so writing a large table runs it.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: dict[int, str] = {}
 
+    def _path(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
     def keep(self, frame: DataFrame, tag: str) -> DataFrame:
         path = new_path(self.spark, tag)
         frame.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)
         self.paths[id(out)] = path
         del frame
-        self.tidy()
+        system, where = self._path(path)
+        if system.getContentSummary(where).getLength() >= TIDY_BYTES:
+            self.tidy()
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        remove(self.spark, *(p for f in frames if (p := self.paths.pop(id(f), None))))
+        for frame in frames:
+            if path := self.paths.pop(id(frame), None):
+                system, where = self._path(path)
+                system.delete(where, True)
 
     def tidy(self) -> None:
         gc.collect()
         self.spark._jvm.System.gc()
-
-
-@contextmanager
-def settings(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Session settings for the jobs run inside (keys with __ for dots)."""
-    keys = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in keys}
-    for k, v in keys.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -1,13 +1,15 @@
 """Token ids of whole texts, encoded once for each distinct word and gathered.
 
-The tokenizer named below drops white space and never merges across it, so a
-text's ids are its words' ids in order.  New words are encoded by the
-tokenizers library: plain Latin texts piece by piece through its BPE model, all
-others by whole words.
+A tokenizer whose file has the normaliser and pre-tokenizer below drops white
+space and never merges across it, so a text's ids are its words' ids in order.
+New words are encoded by the tokenizers library: plain Latin texts piece by
+piece through its BPE model, all others by whole words.  Texts for any other
+tokenizer are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -24,6 +26,12 @@ END_ID = 1
 #: Texts of these characters only are lower-cased and cut into pieces without Unicode tables; the rest of the pattern finds special tokens.
 _OTHER = r"[^\t-\r -~À-ÿ]|<\|"
 _CUT = r"('(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9ß-öø-ÿ]+|[0-9])"
+# The steps before the model for which words can be encoded by themselves.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {
+    "type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True,
+}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 #: Words (and pieces) whose ids a worker remembers; it then starts anew.
 CACHED = 600_000
 
@@ -76,6 +84,7 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.by_words = words_stand_alone(self.whole)
         self.letters = _byte_letters()
         self.pieces, self.words = _Memory(self._piece), _Memory(self._whole_word)
 
@@ -100,6 +109,10 @@ class WordEncoder:
     def encode(self, text: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts (null: empty), each followed by ``end_id``, and each text's first place."""
         text = pc.fill_null(text, "")
+        if not self.by_words:
+            found = [e.ids for e in self.whole.encode_batch(text.to_pylist(), add_special_tokens=False)]
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+            return _closed(np.fromiter(chain.from_iterable(found), np.uint32, bounds[-1]), bounds, end_id)
         plain = pc.invert(pc.match_substring_regex(text, _OTHER))
         if pc.all(plain).as_py() is not False:
             ids, bounds = self._gather(self.pieces, pc.replace_substring_regex(pc.utf8_lower(text), _CUT, r" \1 "))
@@ -112,15 +125,28 @@ class WordEncoder:
             start[some], start[~some] = at[:-1], of[:-1] + len(a)
             bounds = np.concatenate([[0], np.cumsum(size)])
             ids = np.concatenate([a, b])[np.repeat(start - bounds[:-1], size) + np.arange(bounds[-1])]
-        if end_id is None:
-            return ids, bounds
-        n = len(bounds) - 1
-        out = np.empty(len(ids) + n, np.uint32)
-        last = bounds[1:] + np.arange(n)
-        keep = np.ones(len(out), bool)
-        keep[last] = False
-        out[keep], out[last] = ids, end_id
-        return out, bounds + np.arange(n + 1)
+        return _closed(ids, bounds, end_id)
+
+
+def words_stand_alone(tokenizer) -> bool:
+    """Whether the steps before the model are the ones above, and special tokens hold ``<|`` and no white space (so that the rule for plain texts finds them)."""
+    file = json.loads(tokenizer.to_str())
+    steps = file["pre_tokenizer"] or {}
+    special = [t["content"] for t in file["added_tokens"]]
+    return file["normalizer"] == _NORMALIZER and steps.get("pretokenizers") == [_SPLIT, _BYTES] and all("<|" in t and not any(map(str.isspace, t)) for t in special)
+
+
+def _closed(ids: np.ndarray, bounds: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's ids followed by ``end_id``, if there is one."""
+    if end_id is None:
+        return ids, bounds
+    n = len(bounds) - 1
+    out = np.empty(len(ids) + n, np.uint32)
+    last = bounds[1:] + np.arange(n)
+    keep = np.ones(len(out), bool)
+    keep[last] = False
+    out[keep], out[last] = ids, end_id
+    return out, bounds + np.arange(n + 1)
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 HEAD, MIDDLE, FOOT = b"<turn:", b">", b"</turn>\n"
 LOSS_ROLE = "assistant"
+#: Texts of whole conversations that are assembled at once; a longer one comes alone.
+RUN_BYTES = 256 << 20
 _TURN = re.compile(r"<turn:((?:[^\\<>]|\\.)*)>((?:[^\\<>]|\\.)*)</turn>\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _ESCAPED_BYTES = re.compile(rb"\\(.)", re.S)
@@ -65,7 +67,7 @@ def assemble(role: pa.Array, text: pa.Array, bounds: np.ndarray) -> tuple[pa.Arr
         out[np.repeat(at - first[:-1], length) + np.arange(len(raw))] = raw
     offsets = start[bounds]
     if offsets[-1] >= 1 << 31:
-        raise ValueError("a batch of conversations exceeds 2 GB")
+        raise ValueError("a conversation exceeds 2 GB")
     formatted = pa.Array.from_buffers(pa.string(), len(bounds) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
     loss = pc.fill_null(pc.equal(role, LOSS_ROLE), False).to_numpy(zero_copy_only=False)
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -76,27 +78,49 @@ def assemble(role: pa.Array, text: pa.Array, bounds: np.ndarray) -> tuple[pa.Arr
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches come sorted by conversation; the last one of a batch waits for the next batch."""
-    rest: pa.Table | None = None
+    """Batches come sorted by conversation; the last one of a batch waits, in pieces, for the next batch."""
+    held: list[pa.RecordBatch] = []
 
-    def flush(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        ids = table.column("conv_id").combine_chunks()
-        new = _starts(ids)
-        text, mask = assemble(table.column("role").combine_chunks(), table.column("text").combine_chunks(), np.append(new, len(ids)))
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(new)), text, mask], ["conv_id", "formatted", "loss"])
+    def one() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        held.clear()
+        size = sum(pc.sum(pc.fill_null(pc.binary_length(table.column(c)), 0)).as_py() for c in ("role", "text"))
+        if size >= 1 << 31:
+            raise ValueError("a conversation exceeds 2 GB")
+        yield _assembled(table.combine_chunks().to_batches()[0])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]) if rest is not None else table
-        last = int(_starts(table.column("conv_id").combine_chunks())[-1])
-        if last:
-            yield flush(table.slice(0, last))
-        rest = table.slice(last)
-    if rest is not None and rest.num_rows:
-        yield flush(rest)
+        ids = batch.column("conv_id")
+        starts = _starts(ids)
+        if held and _starts(pa.concat_arrays([held[-1].column("conv_id").slice(held[-1].num_rows - 1), ids.slice(0, 1)])).tolist() == [0]:
+            stop = int(starts[1]) if len(starts) > 1 else batch.num_rows
+            held.append(batch.slice(0, stop))
+            starts = starts[1:]
+        if not len(starts):
+            continue
+        if held:
+            yield from one()
+        # whole conversations in runs of about RUN_BYTES
+        rows = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("role", "text")))
+        at, last = 0, len(starts) - 1
+        while at < last:
+            base = rows[starts[at] - 1] if starts[at] else 0
+            to = max(at + 1, int(np.searchsorted(rows[starts[1:] - 1], base + RUN_BYTES, "right")))
+            to = min(to, last)
+            yield _assembled(batch.slice(int(starts[at]), int(starts[to] - starts[at])))
+            at = to
+        held.append(batch.slice(int(starts[last])))
+    if held:
+        yield from one()
+
+
+def _assembled(batch: pa.RecordBatch) -> pa.RecordBatch:
+    ids = batch.column("conv_id")
+    new = _starts(ids)
+    text, mask = assemble(batch.column("role"), batch.column("text"), np.append(new, len(ids)))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(new)), text, mask], ["conv_id", "formatted", "loss"])
 
 
 def _starts(ids: pa.Array) -> np.ndarray:

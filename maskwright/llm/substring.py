@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import Scratch
+from ._shared import Scratch, free_prefix
 from ._words import Rolling, mix, slices, split_words, word_hashes
 
 WINDOW = 20
@@ -81,11 +81,10 @@ def _pieces(window: int, seed: int):
                 words, bounds = split_words(part.column("text"))
                 anchor, content, start, size = path_pieces(word_hashes(words), bounds, window, seed)
                 row = np.searchsorted(bounds, start, "right") - 1
-                mark = part.column("mark").to_numpy(zero_copy_only=False)[row]
-                at = (mark << 47) | ((start - bounds[row]) << 8) | size
+                at = ((start - bounds[row]) << 8) | size
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), part.column("doc_id").take(pa.array(row)), pa.array(at)],
-                    ["anchor", "content", "doc_id", "at"],
+                    [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), *(part.column(c).take(pa.array(row)) for c in ("doc_id", "mark")), pa.array(at)],
+                    ["anchor", "content", "doc_id", "mark", "at"],
                 )
 
     return run
@@ -105,12 +104,12 @@ def _edges(window: int):
                 size = at & 255
                 pick = np.repeat(np.arange(len(at)), size)
                 step = np.arange(len(pick)) - np.repeat(np.cumsum(size) - size, size)
-                place = ((at >> 8) & ((1 << 39) - 1))[pick] + step
+                place = (at >> 8)[pick] + step
                 start = bounds[row[pick]] + place
                 value = _second(word_hashes(words)).span(start, start + window)
                 yield pa.RecordBatch.from_arrays(
-                    [pieces.field("anchor").take(pa.array(pick)), pa.array(value.view(np.int64)), part.column("doc_id").take(pa.array(row[pick])), pa.array((at[pick] >> 47 << 47) | (place << 8) | 1)],
-                    ["anchor", "content", "doc_id", "at"],
+                    [pieces.field("anchor").take(pa.array(pick)), pa.array(value.view(np.int64)), *(part.column(c).take(pa.array(row[pick])) for c in ("doc_id", "mark")), pa.array((place << 8) | 1)],
+                    ["anchor", "content", "doc_id", "mark", "at"],
                 )
 
     return run
@@ -137,13 +136,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _cut(carry: list[str], with_text: bool):
+def _cut(carry: list[str], own: str, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, own + "text"):
                 total, gone, digest, kept_text = [], [], [], []
-                texts = part.column("__text").cast(pa.binary()).to_pylist()
-                for text, spans in zip(texts, part.column("__spans").to_pylist(), strict=True):
+                texts = part.column(own + "text").cast(pa.binary()).to_pylist()
+                for text, spans in zip(texts, part.column(own + "spans").to_pylist(), strict=True):
                     words = (text or b"").split()
                     total.append(len(words))
                     if spans:
@@ -162,17 +161,17 @@ def _cut(carry: list[str], with_text: bool):
                     if with_text:
                         kept_text.append(joined if changed else text)
                 arrays = [part.column(c) for c in carry] + [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
-                names = [*carry, "__n_words", "__n_removed", "__sha"]
+                names = [*carry, *(own + c for c in ("n_words", "n_removed", "sha"))]
                 if with_text:
-                    arrays, names = [*arrays, pa.array(kept_text, pa.binary()).cast(pa.string())], [*names, "__kept"]
+                    arrays, names = [*arrays, pa.array(kept_text, pa.binary()).cast(pa.string())], [*names, own + "kept"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
 
 def _mark(text: str) -> Column:
-    """15 bits that tell apart different texts under one id."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(1 << 15))
+    """64 bits that tell apart different texts under one id."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
@@ -187,36 +186,34 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, s
     scratch = Scratch(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", _mark("text").alias("mark"))
-    schema = f"anchor long, content long, doc_id {kind}, at long"
+    schema = f"anchor long, content long, doc_id {kind}, mark long, at long"
     pieces = scratch.keep(rows.mapInArrow(_pieces(window, seed), schema), "pieces")
     # written first: a join can split a hot key only where both sides are plain shuffles
-    often = scratch.keep(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"), "often")
-    shared = scratch.keep(pieces.join(often, "anchor"), "shared")
+    often = scratch.keep(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "often")
+    shared = scratch.keep(pieces.join(often.select("anchor"), "anchor"), "shared")
     scratch.drop(pieces, often)
 
-    first = F.min(F.struct("doc_id", "at")).alias("first")
+    first = F.min(F.struct("doc_id", "mark", "at")).alias("first")
     classes = shared.groupBy("anchor", "content").agg(first, F.count(F.lit(1)).alias("times"))
     classes = scratch.keep(classes, "classes")
-    open_ = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
-    open_ = classes.join(open_, "anchor").select("anchor", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"))
-    open_ = open_.groupBy("doc_id", F.shiftright("at", 47).alias("mark")).agg(F.collect_list(F.struct("anchor", "at")).alias("pieces"))
-    opened = rows.join(open_, _same(rows, open_, "doc_id", "mark")).select(rows["doc_id"], "text", "pieces")
+    kinds = scratch.keep(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "kinds")
+    open_ = classes.select("anchor", "first.*").join(kinds.select("anchor"), "anchor")
+    open_ = open_.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "at")).alias("pieces"))
+    opened = rows.join(open_, _same(rows, open_, "doc_id", "mark")).select(rows["doc_id"], "text", rows["mark"], "pieces")
     edges = scratch.keep(opened.mapInArrow(_edges(window), schema), "edges")
 
     def later(all_: DataFrame, firsts: DataFrame) -> DataFrame:
         firsts = firsts.where("times > 1").select("anchor", "content", "first")
-        met = all_.join(firsts, ["anchor", "content"]).where(~F.struct("doc_id", "at").eqNullSafe(F.col("first")))
-        return met.select("doc_id", "at", F.col("first.doc_id").alias("src_id"), F.col("first.at").alias("src_at"))
+        met = all_.join(firsts, ["anchor", "content"]).where(~F.struct("doc_id", "mark", "at").eqNullSafe(F.col("first")))
+        return met.select("doc_id", "mark", "at", F.col("first.doc_id").alias("src_id"), F.col("first.mark").alias("src_mark"), F.col("first.at").alias("src_at"))
 
-    place = lambda c: F.shiftright(c, 8).bitwiseAND(F.lit((1 << 39) - 1))
     whole = scratch.keep(later(shared, classes), "whole")
-    scratch.drop(shared, classes)
+    scratch.drop(shared, classes, kinds)
     firsts = edges.groupBy("anchor", "content").agg(first, F.count(F.lit(1)).alias("times")).where("times > 1")
     firsts = scratch.keep(firsts, "firsts")
     found = whole.unionAll(later(edges, firsts))
     found = found.select(
-        "doc_id", F.shiftright("at", 47).alias("mark"), place("at").alias("place"), F.col("at").bitwiseAND(F.lit(255)).alias("size"),
-        "src_id", F.shiftright("src_at", 47).alias("src_mark"), place("src_at").alias("src_place"),
+        "doc_id", "mark", F.shiftright("at", 8).alias("place"), F.col("at").bitwiseAND(F.lit(255)).alias("size"), "src_id", "src_mark", F.shiftright("src_at", 8).alias("src_place")
     )
     spans = scratch.keep(_compacted(found, window), "spans")
     scratch.drop(whole, edges, firsts)
@@ -265,25 +262,23 @@ def substring_dedup(
     text with its repeated words removed (other texts byte for byte), followed
     by ``n_words``, ``n_removed`` and ``kept_sha256`` unless such columns exist.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    spans = repeated_spans(spark, slim, window, seed)
-    spans = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("place", "n_words")).alias("__spans"))
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__of"), "__spans")
-    if with_text:
-        carry = [c for c in docs.columns if c != text_col]
-        rows = docs.withColumnsRenamed({text_col: "__text"})
-    else:
-        carry, rows = ["doc_id"], slim.withColumnsRenamed({"text": "__text"})
-        id_col = "doc_id"
-    rows = rows.withColumn("__mark", _mark("__text"))
-    met = rows.join(spans, rows[f"`{id_col}`"].eqNullSafe(spans["__id"]) & (rows["__mark"] == spans["__of"]), "left")
-    met = met.select(*(F.col(f"`{c}`") for c in carry), "__text", "__spans")
-    schema = T.StructType([*(met.schema[c] for c in carry), *(T.StructField(n, T.LongType()) for n in ("__n_words", "__n_removed")), T.StructField("__sha", T.StringType())])
+    own = free_prefix(docs.columns)
+    if not with_text:
+        docs, id_col, text_col = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text"
+    spans = repeated_spans(spark, docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), window, seed)
+    spans = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("place", "n_words")).alias(own + "spans"))
+    spans = spans.withColumnsRenamed({"doc_id": own + "id", "mark": own + "of"})
+    carry = [c for c in docs.columns if c != text_col]
+    rows = docs.withColumnRenamed(text_col, own + "text")
+    rows = rows.withColumn(own + "mark", _mark(own + "text"))
+    met = rows.join(spans, rows[f"`{id_col}`"].eqNullSafe(spans[own + "id"]) & (rows[own + "mark"] == spans[own + "of"]), "left")
+    met = met.select(*(F.col(f"`{c}`") for c in carry), own + "text", own + "spans")
+    schema = T.StructType([*(met.schema[c] for c in carry), *(T.StructField(own + n, T.LongType()) for n in ("n_words", "n_removed")), T.StructField(own + "sha", T.StringType())])
     if with_text:
-        schema = schema.add("__kept", T.StringType())
-    out = met.mapInArrow(_cut(carry, with_text), schema)
-    extra = {"__n_words": "n_words", "__n_removed": "n_removed", "__sha": "kept_sha256"}
+        schema = schema.add(own + "kept", T.StringType())
+    out = met.mapInArrow(_cut(carry, own, with_text), schema)
+    extra = {own + "n_words": "n_words", own + "n_removed": "n_removed", own + "sha": "kept_sha256"}
     if not with_text:
         return out.withColumnsRenamed(extra)
-    names = [F.col("__kept").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    names = [F.col(own + "kept").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*names, *(F.col(a).alias(b) for a, b in extra.items() if b not in docs.columns))

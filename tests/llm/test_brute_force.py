@@ -338,3 +338,48 @@ def test_empty_tables(spark, docs):
         mix.mix_sources(spark, none), tokenbin.read_token_files(spark, tokenbin.write_token_files(spark, none)), embed.embedding_dedup(spark, spark.createDataFrame([], "vec_id long, embedding array<float>, label int")),
     ):
         assert out.count() == 0
+
+
+def test_other_tokenizer_encodes_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, texts = Tokenizer.from_file(path), ["Two  Words\n", "", "İ <|endoftext|> x", None]
+    ids, bounds = WordEncoder(path).encode(pa.array(texts), 7)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [whole.encode(t or "", add_special_tokens=False).ids + [7] for t in texts]
+
+
+def test_substring_tells_texts_of_one_id_apart(spark):
+    """Texts under one id whose 64-bit hashes agree in their low 15 bits, one long, one short; and columns named like internal ones."""
+    stem = " ".join(f"q{i}" for i in range(30))
+    texts = spark.range(40_000).selectExpr(f"concat('{stem} v', id, if(id % 2 = 0, ' {' '.join(f'z{i}' for i in range(40))}', '')) as text")
+    same = texts.selectExpr("text", "pmod(xxhash64(text), 32768) as m", "size(split(text, ' ')) as n").groupBy("m").agg({"n": "min", "text": "collect_list", "*": "count"})
+    pair = next(sorted(r[0], key=len) for r in same.selectExpr("`collect_list(text)`", "`min(n)`").where("`min(n)` < 40").toLocalIterator() if len({len(t) > 200 for t in r[0]}) == 2)
+    rows = [(7, pair[0], 1, "a"), (7, pair[-1], 2, "b"), (8, pair[-1], 3, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __mark int, __text string")
+    got = substring.substring_dedup(spark, docs, with_text=True).collect()
+    assert {(r["__mark"], r["__text"]) for r in got} == {(1, "a"), (2, "b"), (3, "c")}
+    left = {r["__mark"]: r.n_words - r.n_removed for r in got}
+    assert left[3] == 0 and sorted(left[k] for k in (1, 2))[0] in (1, 41) and len(got) == 3
+
+
+def test_graph_follows_long_paths(spark):
+    from maskwright.llm._graph import connected_components
+
+    edges = spark.range(1, 400).selectExpr("id * 7919 % 400 as a", "(id + 1) * 7919 % 400 as b")
+    assert {r.root for r in connected_components(spark, edges).collect()} == {0}
+
+
+def test_chat_spans_batches(spark, monkeypatch):
+    monkeypatch.setattr(chat, "RUN_BYTES", 40)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        turns = [(c, t, "assistant" if t % 2 else "user", f"text {c} {t} <&") for c in (1, 2, 3, None) for t in range({1: 8, 2: 1, 3: 5}.get(c, 7))]
+        chats = chat.format_chat(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1))
+        got = {r.conv_id: chat.parse(r.formatted) for r in chats.collect()}
+        assert got == {c: [(r, x) for d, _, r, x in turns if d == c] for c in (1, 2, 3, None)}
+        assert chat.format_chat(chats.selectExpr("conv_id", "1L as turn", "formatted as role", "formatted as text").limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

@@ -139,7 +139,8 @@ def best_fit_pack(
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most ``size`` rows
-    ranked = pieces.join(base, ["length", "task"]).select(
+    # the table grows with tasks and lengths, so it meets the pieces by shuffle whatever its files' size
+    ranked = pieces.hint("merge").join(base, ["length", "task"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), (F.col("nth") + F.col("base")).alias("rank")
     )
     return ranked.mapInArrow(_placed(plan(histogram, size)), f"{schema}{ids}, sequence_id long, offset long")

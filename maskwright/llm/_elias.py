@@ -131,6 +131,10 @@ def save(path: str, arrays: Mapping[str, np.ndarray]) -> None:
             f.write(np.ascontiguousarray(v).tobytes() + bytes(-v.nbytes % 8))
 
 
+def size_of(arrays: Mapping[str, np.ndarray]) -> int:
+    return sum(v.nbytes for v in arrays.values())
+
+
 def load(path: str) -> dict[str, np.ndarray]:
     """The arrays, memory-mapped where the folder is mounted, read otherwise."""
     where = urlparse(path)

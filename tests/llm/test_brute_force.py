@@ -217,9 +217,10 @@ def test_elias_fano():
         assert ((e.find(q) >= 0) == np.isin(q, v)).all()
 
 
-def test_lm(spark, docs, monkeypatch):
-    monkeypatch.setattr(lm, "SHARD", 64)
-    monkeypatch.setattr(lm, "SHARD2", 50)
+@pytest.mark.parametrize("hot", [1 << 20, 12])
+def test_lm(spark, docs, monkeypatch, hot):
+    for name, value in (("SHARD", 300), ("SHARD_BYTES", 5000), ("FLUSH", 700), ("HOT", hot), ("MAPPED", 1), ("PIECE", 100), ("SCORED_BYTES", 4000)):
+        monkeypatch.setattr(lm, name, value)
     rows = lm.lm_score(spark, docs).collect()
     toks = [(i, words(low(t)) + [None]) for i, t in TEXTS]
     learn = [w for i, w in toks if i is not None and zlib.crc32(str(i).encode()) % 10]
@@ -228,30 +229,41 @@ def test_lm(spark, docs, monkeypatch):
     base = lambda x: math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1)))
     want = collections.Counter((i, i is not None and zlib.crc32(str(i).encode()) % 10 == 0, len(w), sum(c[x] > 0 for x in w), n, round(sum(map(base, w)), 4)) for i, w in toks)
     assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in rows) == want
-    # the trie's smoothed bigrams, from plain counts
-    pair = collections.Counter((a, b) for w in learn for a, b in zip(["<s>", *w], w, strict=False))
-    context = c | collections.Counter({"<s>": c[None]})
-    kept = {k: m for k, m in pair.items() if m >= 2}
-    back = {u: max(1 - sum((m - 0.5) / context[u] for (x, _), m in kept.items() if x == u), 1e-4) for u in {k[0] for k in kept}}
+    # the trie's smoothed n-grams, from plain counts
+    grams = collections.Counter()
+    for w in learn:
+        s = ["<s>", *w]
+        for k in range(1, len(s)):
+            grams[(s[k - 1],), s[k]] += 1
+            if k > 1:
+                grams[(s[k - 2], s[k - 1]), s[k]] += 1
+    total, kinds = collections.Counter(), collections.Counter()
+    for (h, _), m in grams.items():
+        total[h] += m
+        kinds[h] += 1
+
+    def mixed(h, x, lower):
+        return lower if h not in total else max(grams[h, x] - 0.5, 0) / total[h] + 0.5 * kinds[h] / total[h] * lower
+
     for (i, w), r in zip(sorted(toks, key=lambda x: (x[0] is not None, x[0] or 0)), sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0)), strict=True):
-        score = 0.0
-        for a, b in zip(["<s>", *w], w, strict=False):
-            lam = back.get(a, 1.0)
-            p = lam * 10 ** base(b) + (max(kept.get((a, b), 0.5) - 0.5, 0) / context[a] if (a, b) in kept else 0)
-            score += math.log10(p)
-        assert abs(score - r.score) <= 0.02 * len(w) + 1e-6, (i, score, r.score)
+        score, s = 0.0, ["<s>", *w]
+        for k in range(1, len(s)):
+            p = mixed((s[k - 1],), s[k], 10 ** base(s[k]))
+            score += math.log10(mixed((s[k - 2], s[k - 1]), s[k], p) if k > 1 else p)
+        assert abs(score - r.score) <= 0.021 * len(w) + 1e-6, (i, score, r.score)
 
 
-def test_lm_keeps_rare_bigrams(spark):
+def test_lm_keeps_rare_grams(spark):
     ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 10]
-    common = " ".join(f"f{i % 7}" for i in range(50_000))  # 400,000 tokens: three occurrences are under 1e-5 of them
-    rows = [(i, common) for i in ids[:8]] + [(i, "zeta omega") for i in ids[8:11]]
+    common = " ".join(f"f{i % 7}" for i in range(50_000))
+    rows = [(i, common) for i in ids[:8]] + [(ids[8], "zeta omega psi")]
     got = {r.doc_id: r for r in lm.lm_score(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i in ids[8:11]:
-        n, c, v = 8 * 50_001 + 9, {"zeta": 3, "omega": 3, "end": 11}, 10
-        base = lambda x: (c[x] + 0.1) / (n + 0.1 * (v + 1))
-        want = math.log10(2.5 / 11 + 1.0 * base("zeta") * (1 - 2.5 / 11 - 7.5 / 11)) + math.log10(2.5 / 3 + base("omega") / 6) + math.log10(2.5 / 3 + base("end") / 6)
-        assert abs(got[i].score - want) <= 0.06, (got[i].score, want)
+    n, v = 8 * 50_001 + 4, 11
+    one = lambda c: (c + 0.1) / (n + 0.1 * (v + 1))
+    half = lambda p: 0.5 + 0.5 * p  # each was seen once after a context seen once
+    first = 0.5 / 9 + 0.5 * 2 / 9 * one(1)
+    want = math.log10(first) + math.log10(half(half(one(1)))) * 2 + math.log10(half(half(one(9))))
+    assert abs(got[ids[8]].score - want) <= 0.08, (got[ids[8]].score, want)
 
 
 def test_gru_gradient():

@@ -44,6 +44,8 @@ from ._words import Rolling, mix, slices, split_words, word_hashes
 
 WINDOW = 20
 SEED_WORDS = 6
+#: Keys of over this many rows, and of over 1 / ``HOT_SHARE`` of a task's even share of them, are dealt over ``SALT`` tasks.
+HOT_LEAST, HOT_SHARE, SALT = 512, 4, 64
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -174,6 +176,18 @@ def _mark(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def _counted_join(rows: DataFrame, counts: DataFrame, partitions: int) -> DataFrame:
+    """``rows`` whose anchor is in ``counts(anchor, times)``: anchors that hold much more than a task's share are dealt over ``SALT`` tasks.
+
+    At most ``HOT_SHARE`` anchors a partition can hold that much, so their list is broadcast.
+    """
+    total = counts.agg(F.sum("times")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("times") > max(HOT_LEAST, total // (HOT_SHARE * partitions))).select("anchor", F.lit(True).alias("hot")))
+    salted = rows.join(hot, "anchor", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALT))).otherwise(F.lit(0)))
+    copies = counts.select("anchor").join(hot, "anchor", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.drop("hot").join(copies.select("anchor", F.col("salt").cast("long")), ["anchor", "salt"]).drop("salt")
+
+
 def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
     out = F.lit(True)
     for n in names:
@@ -184,20 +198,21 @@ def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
 def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
     """``docs(doc_id, text)`` -> spans ``(doc_id, mark, place, n_words)`` to remove, verified at both coordinates."""
     scratch = Scratch(spark)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", _mark("text").alias("mark"))
     schema = f"anchor long, content long, doc_id {kind}, mark long, at long"
     pieces = scratch.keep(rows.mapInArrow(_pieces(window, seed), schema), "pieces")
     # written first: a join can split a hot key only where both sides are plain shuffles
     often = scratch.keep(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "often")
-    shared = scratch.keep(pieces.join(often.select("anchor"), "anchor"), "shared")
+    shared = scratch.keep(_counted_join(pieces, often, partitions), "shared")
     scratch.drop(pieces, often)
 
     first = F.min(F.struct("doc_id", "mark", "at")).alias("first")
     classes = shared.groupBy("anchor", "content").agg(first, F.count(F.lit(1)).alias("times"))
     classes = scratch.keep(classes, "classes")
     kinds = scratch.keep(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "kinds")
-    open_ = classes.select("anchor", "first.*").join(kinds.select("anchor"), "anchor")
+    open_ = _counted_join(classes.select("anchor", "first.*"), kinds, partitions)
     open_ = open_.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "at")).alias("pieces"))
     opened = rows.join(open_, _same(rows, open_, "doc_id", "mark")).select(rows["doc_id"], "text", rows["mark"], "pieces")
     edges = scratch.keep(opened.mapInArrow(_edges(window), schema), "edges")

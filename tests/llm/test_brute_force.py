@@ -376,6 +376,12 @@ def test_substring_tells_texts_of_one_id_apart(spark):
     assert left[3] == 0 and sorted(left[k] for k in (1, 2))[0] in (1, 41) and len(got) == 3
 
 
+def test_substring_deals_hot_keys(spark, docs, monkeypatch):
+    monkeypatch.setattr(substring, "HOT_LEAST", 1)
+    monkeypatch.setattr(substring, "HOT_SHARE", 50)
+    test_substring(spark, docs)
+
+
 def test_graph_follows_long_paths(spark):
     from maskwright.llm._graph import connected_components
 

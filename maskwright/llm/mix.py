@@ -33,6 +33,8 @@ DOMAIN = "concat('domain', crc32(source) % 4)"
 WEIGHTS: dict[tuple[str, ...], float] = {("domain0",): 4, ("domain1",): 3, ("domain2",): 2, ("domain3",): 1}
 SHARE, EPOCHS, SEED = 0.6, 2, 17
 BUCKETS = 4096
+#: Leaves (about 100 bytes each) that are broadcast; more are joined by shuffle, each leaf over ``SALT`` tasks.
+BROADCAST_LEAVES, SALT = 50_000, 32
 NULL = "(null)"
 LEVELS = ("domain", "lang", "source")
 
@@ -117,7 +119,12 @@ def mix_sources(
     parts = budgets(tokens, weights, int(share * sum(tokens.values())), epochs)
     plan = [(*leaf, *(divmod(parts.get(leaf, 0), n) if n else (0, 0))) for leaf, n in sorted(tokens.items())]
     leaves = spark.createDataFrame(plan, "domain string, lang string, source string, full long, rest long")
-    rows = rows.join(leaves, list(LEVELS)).withColumn("at", F.expr(f"xxhash64({seed}, full, doc_id, mark)"))
+    if len(plan) <= BROADCAST_LEAVES:
+        rows = rows.join(F.broadcast(leaves), list(LEVELS))
+    else:  # a leaf's documents are dealt over SALT tasks, each of which gets the leaf's row
+        rows = rows.withColumn("salt", F.expr(f"pmod(xxhash64(doc_id, mark), {SALT})"))
+        rows = rows.join(leaves.withColumn("salt", F.expr(f"explode(sequence(0L, {SALT - 1}L))")), [*LEVELS, "salt"]).drop("salt")
+    rows = rows.withColumn("at", F.expr(f"xxhash64({seed}, full, doc_id, mark)"))
     rows = rows.withColumn("bucket", F.expr(f"cast(floor((at / 18446744073709551616D + 0.5D) * {buckets}) as int)"))
     sums = rows.where("rest > 0").groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("size"))
     before = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,24 +1,28 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text is read as sequences of bytes: its words, longer ones in pieces of
-``LONGEST`` bytes.  One GRU reads a sequence forwards, one backwards; from both
-states a softmax labels every byte with a language.  A document's probabilities
-are the mean over all its bytes, white space aside.  Equal sequences get equal
-labels, so each worker labels a distinct word once and gathers.
+A text's UTF-8 bytes, white space included, are read whole: in pieces of
+``PIECE`` bytes, each with ``AROUND`` bytes of its neighbours on either side, so
+that states are warm at a piece's first and last byte.  One GRU reads a piece
+forwards, one backwards; from both states a softmax labels every byte with a
+language, or with a last class for scrambled text, so that letters in no
+language's order score low.  A document's probabilities are the mean over all
+its bytes.
 
 The network is trained in numpy by backpropagation through time with Adam, on
-at most about ``PER_LANGUAGE`` labelled documents of each language (chosen by
-hashed id) and ``TRAIN_WORDS`` words of each.  Language, source and id are never
+``WINDOWS`` windows of ``WINDOW`` characters, at hashed places of the whole
+text, of about ``PER_LANGUAGE`` labelled documents of each language (chosen by
+hashed id, ``MOST`` times that at most).  Language, source and id are never
 inputs.
 
 ``accepted`` rejects texts that score lower than all but ``REJECTED`` of held-out
 documents of known language do, so the bar follows the model and the number of
-languages; with one language every score is 1 and only letterless texts go.
+languages.
 
 Cases: null text, or text without a letter, is ``und`` with score 0; texts are
 read whole; a null id is not held out and not learned from; repeated rows are
-labelled each; without any labelled text every document is ``und``; only the
-id, text and language columns are read.
+labelled each; without any labelled text every document is ``und``; a language
+column of any type is read as text; only the id, text and language columns are
+read.
 """
 
 from __future__ import annotations
@@ -32,21 +36,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._words import slices, split_words
+from ._shared import free_prefix
+from ._words import slices
 
-PER_LANGUAGE, TRAIN_WORDS, TRAIN_CHARS = 300, 150, 4000
-HIDDEN, LONGEST = 16, 24
-STEPS, BATCH, RATE = 400, 768, 0.02
-CACHED = 400_000
+PER_LANGUAGE, MOST, WINDOWS, WINDOW = 300, 4, 8, 160
+HIDDEN, PIECE, AROUND, ROWS = 12, 224, 16, 1024
+STEPS, BATCH, SEQUENCE, RATE = 250, 192, 64, 0.02
 UNKNOWN = "und"
 #: Share of rightly labelled held-out documents that may score too low for ``accepted``.
 REJECTED = 0.005
 #: Documents whose remainder is this one are held out.
 FOLDS, HELD = 4, 2
 
-#: Internal names of the two results.
-LANG, SCORE = "__lang_pred", "__lang_score"
-
 Params = dict[str, np.ndarray]
 
 
@@ -87,9 +88,9 @@ def _run(p: Params, way: str, seq: np.ndarray, keep: list | None = None) -> np.n
 def _back(p: Params, way: str, seq: np.ndarray, kept: list, dout: np.ndarray, grad: Params) -> None:
     u = p["u" + way]
     size = u.shape[0]
-    dx, du, dn = np.zeros_like(p["x" + way]), np.zeros_like(u), np.zeros_like(p["n" + way])
+    du, dn = np.zeros_like(u), np.zeros_like(p["n" + way])
+    das = np.empty((*seq.shape, 3 * size), u.dtype)
     dh = np.zeros_like(dout[0])
-    row = np.arange(seq.shape[1])
     for t in range(len(seq) - 1, -1, -1):
         h, z, r, m, n = kept[t]
         dh = dh + dout[t]
@@ -97,12 +98,12 @@ def _back(p: Params, way: str, seq: np.ndarray, kept: list, dout: np.ndarray, gr
         dm = dcand * r
         da = np.concatenate([dh * (h - n) * z * (1 - z), dcand * m * r * (1 - r), dcand], axis=1)
         dg = np.concatenate([da[:, : 2 * size], dm], axis=1)
-        one = np.zeros((len(row), 256), dx.dtype)
-        one[row, seq[t]] = 1
-        dx += one.T @ da
+        das[t] = da
         du += h.T @ dg
         dn += dm.sum(axis=0)
         dh = dh * z + dg @ u.T
+    codes, das = seq.ravel(), das.reshape(-1, 3 * size)
+    dx = np.stack([np.bincount(codes, das[:, j], 256) for j in range(3 * size)], axis=1).astype(u.dtype)
     grad["x" + way], grad["u" + way], grad["n" + way] = dx, du, dn
 
 
@@ -117,14 +118,9 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def labels(p: Params, words: np.ndarray) -> np.ndarray:
-    """Language probabilities of every byte of equally long words: (rows, bytes) -> (bytes, rows, languages)."""
-    return _softmax(_states(p, words.T) @ p["w"] + p["b"])
-
-
-def loss_and_gradient(p: Params, words: np.ndarray, truth: np.ndarray) -> tuple[float, Params]:
-    """Mean cross-entropy of all bytes, and its gradient through time."""
-    seq, kept = words.T, ([], [])
+def loss_and_gradient(p: Params, sequences: np.ndarray, truth: np.ndarray) -> tuple[float, Params]:
+    """Mean cross-entropy of all bytes of ``sequences`` (rows, bytes), and its gradient through time."""
+    seq, kept = sequences.T, ([], [])
     state = _states(p, seq, kept)
     prob = _softmax(state @ p["w"] + p["b"])
     row = np.arange(len(truth))
@@ -139,24 +135,16 @@ def loss_and_gradient(p: Params, words: np.ndarray, truth: np.ndarray) -> tuple[
     return float(loss), grad
 
 
-def _cut(word: bytes) -> list[bytes]:
-    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
-
-
-def train(samples: list[tuple[bytes, int]], languages: int, steps: int = STEPS, seed: int = 7) -> Params:
-    """``samples``: (byte sequence of at most ``LONGEST``, language); batches are of equal length."""
-    by: dict[int, list[tuple[bytes, int]]] = {}
-    for s in samples:
-        by.setdefault(len(s[0]), []).append(s)
-    sets = {n: (np.frombuffer(b"".join(w for w, _ in v), np.uint8).reshape(-1, n), np.array([t for _, t in v])) for n, v in sorted(by.items())}
-    lengths = list(sets)
-    odds = np.array([len(sets[n][1]) * n for n in lengths], float)
-    rng, p = np.random.default_rng(seed), init(languages, seed=seed)
+def train(windows: list[tuple[bytes, int]], languages: int, steps: int | None = None, seed: int = 7) -> Params:
+    """``windows``: (bytes, language); every step reads ``BATCH`` sequences of ``SEQUENCE`` bytes, as many of each language, from places drawn evenly."""
+    by = [b" ".join(w for w, t in windows if t == k) for k in range(languages)]
+    codes = [np.frombuffer(x + b" " * max(0, SEQUENCE - len(x)), np.uint8) for x in by]
+    rng, p, steps = np.random.default_rng(seed), init(languages, seed=seed), steps or STEPS
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    truth = np.arange(BATCH) % languages
     for step in range(1, steps + 1):
-        words, truth = sets[lengths[rng.choice(len(lengths), p=odds / odds.sum())]]
-        pick = rng.integers(0, len(truth), BATCH)
-        _, grad = loss_and_gradient(p, words[pick], truth[pick])
+        at = [int(rng.integers(0, len(codes[t]) - SEQUENCE + 1)) for t in truth]
+        _, grad = loss_and_gradient(p, np.stack([codes[t][i : i + SEQUENCE] for t, i in zip(truth, at, strict=True)]), truth)
         rate = RATE * (1 - 0.9 * step / steps)
         for k, g in grad.items():
             first[k] += 0.1 * (g - first[k])
@@ -174,97 +162,134 @@ def _chosen(docs: DataFrame, held: bool, per_language: int) -> tuple[DataFrame,
         return None
     ids = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     bound = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1 << 30, -(-(per_language << 30) // n)))))
-    return usable.where(ids < bound[F.col("lang")]).select("lang", "text", ids.alias("at")), 4 * per_language * len(counts)
+    chosen = usable.where(ids < bound[F.col("lang")]).select("lang", "text", ids.alias("at"), F.xxhash64("text").alias("mark"))
+    return chosen.orderBy("at", "lang", "mark"), MOST * per_language * len(counts)
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """About ``per_language`` (language, start of text) pairs of each language, by hashed id; never of held-out rows."""
+    """(language, window of text) pairs of labelled documents that are not held out."""
     chosen = _chosen(docs, False, per_language)
     if chosen is None:
         return []
-    rows = chosen[0].select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text"), "at").limit(chosen[1]).collect()
-    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["at"], r["lang"], r["text"]))]
+    place = f"1 + pmod(xxhash64(at, i), greatest(length(text) - {WINDOW} + 1, 1))"
+    windows = f"transform(sequence(0, least({WINDOWS - 1}, length(text) div {WINDOW})), i -> substring(text, cast({place} as int), {WINDOW}))"
+    rows = chosen[0].select("lang", "at", "mark", F.expr(windows).alias("w")).limit(chosen[1]).collect()
+    return [(r["lang"], w) for r in sorted(rows, key=lambda r: (r["at"], r["lang"], r["mark"])) for w in r["w"] if w]
+
+
+def scrambled(windows: list[str], seed: int = 5) -> list[str]:
+    """The last class, no language: windows with their characters in another order, or drawn evenly from all characters that occur."""
+    rng = np.random.default_rng(seed)
+    every = sorted(set("".join(windows)))
+    out = []
+    for n, w in enumerate(windows):
+        if n % 2:
+            out.append("".join(w[i] for i in rng.permutation(len(w))))
+        else:
+            drawn = "".join(every[i] for i in rng.integers(0, len(every), len(w)))
+            out.append("".join(d if c != " " else c for c, d in zip(w, drawn, strict=True)))
+    return out
 
 
 def fit(pairs: list[tuple[str, str]]) -> tuple[list[str], Params]:
+    """Languages by name, and the network: a class for each, and one for scrambled text."""
     names = sorted({lang for lang, _ in pairs})
-    samples = []
-    for lang, text in pairs:
-        words = text.encode().split()
-        step = max(1, len(words) // TRAIN_WORDS)
-        samples += [(w, names.index(lang)) for word in words[::step] for w in _cut(word)]
-    return names, train(samples, len(names)) if samples else init(len(names))
+    if not names:
+        return names, init(0)
+    noise = scrambled([w for _, w in pairs])
+    return names, train([(w.encode(), names.index(lang)) for lang, w in pairs] + [(w.encode(), len(names)) for w in noise], len(names) + 1)
 
 
-class _Labeller:
-    """Sums of byte probabilities of distinct words."""
+class Labeller:
+    """The trained network, both ways in one pass over many pieces."""
 
     def __init__(self, p: Params):
-        self.p, self.size = p, p["b"].shape[0]
-        self._clear()
-
-    def _clear(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.sums = np.zeros((0, self.size), np.float32)
-
-    def _label(self, words: list[bytes]) -> np.ndarray:
-        owner, parts = [], []
-        for i, w in enumerate(words):
-            for part in _cut(w):
-                owner.append(i)
-                parts.append(part)
-        owner, length = np.array(owner), np.fromiter(map(len, parts), np.int64, len(parts))
-        out = np.zeros((len(words), self.size), np.float32)
-        for n in np.unique(length):
-            pick = np.flatnonzero(length == n)
-            for i in range(0, len(pick), 4096):
-                some = pick[i : i + 4096]
-                codes = np.frombuffer(b"".join([parts[j] for j in some.tolist()]), np.uint8).reshape(-1, n)
-                np.add.at(out, owner[some], labels(self.p, codes).sum(axis=0))
+        size = p["uf"].shape[0]
+        self.size, self.languages = size, len(p["b"])
+        # sigmoid(x) = (1 + tanh(x / 2)) / 2: the halves go into the weights of the gates
+        x, u = np.concatenate([p["xf"], p["xb"]]).astype(np.float32), np.stack([p["uf"], p["ub"]]).astype(np.float32)
+        self.gate_x, self.new_x = x[:, : 2 * size] / 2, x[:, 2 * size :].copy()
+        self.gate_u, self.new_u = u[:, :, : 2 * size] / 2, u[:, :, 2 * size :].copy()
+        self.n = np.stack([p["nf"], p["nb"]]).astype(np.float32)[:, None, :]
+        self.w, self.b = np.stack([p["w"][:size], p["w"][size:]]).astype(np.float32), p["b"].astype(np.float32)
+
+    def labels(self, codes: np.ndarray) -> np.ndarray:
+        """Language probabilities of every byte of equally long pieces: (rows, bytes) -> (bytes, rows, languages)."""
+        rows, steps = codes.shape
+        size = self.size
+        both = np.empty((steps, 2, rows), np.int64)
+        both[:, 0], both[:, 1] = codes.T, codes.T[::-1].astype(np.int64) + 256
+        logit = np.empty((steps, 2, rows, self.languages), np.float32)
+        h, gate, more = np.zeros((2, rows, size), np.float32), *(np.empty((2, rows, 2 * size), np.float32) for _ in range(2))
+        new, other = (np.empty((2, rows, size), np.float32) for _ in range(2))
+        for t in range(steps):
+            np.take(self.gate_x, both[t], axis=0, out=gate, mode="clip")
+            np.take(self.new_x, both[t], axis=0, out=other, mode="clip")
+            np.matmul(h, self.gate_u, out=more)
+            np.matmul(h, self.new_u, out=new)
+            gate += more
+            np.tanh(gate, out=gate)
+            gate += 1
+            gate *= 0.5
+            new += self.n
+            new *= gate[:, :, size:]
+            new += other
+            np.tanh(new, out=new)
+            h -= new
+            h *= gate[:, :, :size]
+            h += new
+            np.matmul(h, self.w, out=logit[t])
+        out = logit[:, 0]
+        out += logit[::-1, 1]
+        out += self.b
+        out -= out.max(axis=-1, keepdims=True)
+        np.exp(out, out=out)
+        out /= out.sum(axis=-1, keepdims=True)
         return out
 
     def texts(self, text: pa.Array) -> np.ndarray:
         """Sums over all bytes of each text, one column for each language."""
-        words, bounds = split_words(text)
-        coded = pc.dictionary_encode(words.cast(pa.binary()))
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        if len(self.slot) > CACHED:
-            self._clear()
-        known, slot = coded.dictionary.to_pylist(), self.slot
-        new = [w for w in known if w not in slot]
-        if new:
-            for n, w in enumerate(new, len(slot)):
-                slot[w] = n
-            self.sums = np.concatenate([self.sums, self._label(new)])
-        code = np.array([slot[w] for w in known], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
-        total = np.zeros((len(code) + 1, self.size))
-        np.cumsum(self.sums[code], axis=0, out=total[1:], dtype=np.float64)
-        return total[bounds[1:]] - total[bounds[:-1]]
-
-
-_labellers: dict[bytes, _Labeller] = {}
-
-
-def _predict(names: list[str], p: Params, with_text: bool = False):
+        data = text.cast(pa.binary())
+        at = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4).astype(np.int64) if len(data) else np.zeros(1, np.int64)
+        raw = np.frombuffer(data.buffers()[2], np.uint8) if len(data) and data.buffers()[2] else np.zeros(0, np.uint8)
+        many = -(-np.diff(at) // PIECE)
+        owner = np.repeat(np.arange(len(data)), many)
+        start = at[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)) * PIECE
+        out = np.zeros((len(data), self.languages))
+        step = np.arange(-AROUND, PIECE + AROUND)
+        for i in range(0, len(owner), ROWS):
+            of, begin = owner[i : i + ROWS], start[i : i + ROWS]
+            place = begin[:, None] + step
+            inside = (place >= at[of][:, None]) & (place < at[of + 1][:, None])
+            codes = np.where(inside, raw[np.clip(place, 0, max(len(raw) - 1, 0))], 32)
+            prob = self.labels(codes)[AROUND:-AROUND]
+            prob *= inside.T[AROUND:-AROUND, :, None]
+            np.add.at(out, of, prob.sum(axis=0))
+        return out
+
+
+_labellers: dict[bytes, Labeller] = {}
+
+
+def _predict(names: list[str], p: Params, own: str, with_text: bool = False):
     key = b"".join(v.tobytes() for _, v in sorted(p.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _labellers:
             _labellers.clear()
-            _labellers[key] = _Labeller(p)
+            _labellers[key] = Labeller(p)
         labeller = _labellers[key]
         for batch in batches:
             for part in slices(batch):
                 text = pc.fill_null(part.column("text"), "")
                 sums = labeller.texts(text)
                 prob = sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-9)
-                best = prob.argmax(axis=1)
+                best = prob[:, : len(names)].argmax(axis=1)
                 letter = pc.match_substring_regex(text, r"\pL").to_numpy(zero_copy_only=False)
                 pred = [names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letter.tolist(), strict=True)]
                 score = np.where(letter, np.minimum(prob[np.arange(len(best)), best], 1.0), 0.0)
                 keep = [c for c in batch.schema.names if with_text or c != "text"]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score)], [*keep, LANG, SCORE])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score)], [*keep, own + "lang", own + "score"])
 
     return run
 
@@ -273,14 +298,14 @@ def identify_language(
     spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: tuple[list[str], Params] | None = None
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, lang_pred, score``; trains on ``docs`` unless given a model."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     held = F.coalesce(F.expr(f"crc32(cast(doc_id as string)) % {FOLDS} = {HELD}"), F.lit(False)).alias("held_out")
     names, p = model or fit(sample(rows))
     rows = rows.select("doc_id", held, "text")
     if not names:
         return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    out = rows.mapInArrow(_predict(names, p), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, {LANG} string, {SCORE} double")
-    return out.withColumnsRenamed({LANG: "lang_pred", SCORE: "score"})
+    out = rows.mapInArrow(_predict(names, p, "__"), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, __lang string, __score double")
+    return out.withColumnsRenamed({"__lang": "lang_pred", "__score": "score"})
 
 
 def least_score(docs: DataFrame, names: list[str], p: Params, share: float = REJECTED) -> float:
@@ -289,20 +314,26 @@ def least_score(docs: DataFrame, names: list[str], p: Params, share: float = REJ
         chosen = _chosen(docs, held, PER_LANGUAGE)
         if chosen is None:
             continue
-        scored = chosen[0].select("lang", "text").mapInArrow(_predict(names, p), f"lang string, {LANG} string, {SCORE} double")
-        scores = sorted(r[0] for r in scored.where(F.col("lang") == F.col(LANG)).select(SCORE).limit(chosen[1]).collect())
+        scored = chosen[0].limit(chosen[1]).select("lang", "text").mapInArrow(_predict(names, p, "__"), "lang string, __lang string, __score double")
+        scores = sorted(r[0] for r in scored.where("lang = __lang").select("__score").collect())
         if scores:
             return scores[int(share * len(scores))]
     return 0.0
 
 
 def accepted(docs: DataFrame, least: float | None = None) -> DataFrame:
-    """The rows of ``docs(doc_id, text, lang, ...)`` that get a language with at least this score (``least_score`` unless given), all columns; null languages are filled in."""
-    labelled = docs.select("doc_id", "text", "lang")
+    """The rows of ``docs(doc_id, text, lang, ...)`` that get a language with at least this score (``least_score`` unless given), all columns; null languages are filled in.
+
+    Texts without a letter are not kept.  Where no row has a language there is
+    nothing to learn from, and every row with a letter stays.
+    """
+    labelled = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     names, p = fit(sample(labelled))
     if not names:
-        return docs.limit(0)
+        return docs.where(r"text rlike '\\p{L}'")
     least = least_score(labelled, names, p) if least is None else least
-    schema = T.StructType([*docs.schema, T.StructField(LANG, T.StringType()), T.StructField(SCORE, T.DoubleType())])
-    out = docs.mapInArrow(_predict(names, p, True), schema).where((F.col(LANG) != UNKNOWN) & (F.col(SCORE) >= least))
-    return out.withColumn("lang", F.coalesce("lang", LANG)).drop(LANG, SCORE)
+    own = free_prefix(docs.columns)
+    schema = T.StructType([*docs.schema, T.StructField(own + "lang", T.StringType()), T.StructField(own + "score", T.DoubleType())])
+    out = docs.mapInArrow(_predict(names, p, own, True), schema).where((F.col(own + "lang") != UNKNOWN) & (F.col(own + "score") >= least))
+    filled = F.coalesce("lang", F.col(own + "lang").cast(docs.schema["lang"].dataType)) if isinstance(docs.schema["lang"].dataType, T.StringType) else F.col("lang")
+    return out.withColumn("lang", filled).drop(own + "lang", own + "score")

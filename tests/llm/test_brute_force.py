@@ -295,6 +295,36 @@ def test_language_id(spark, monkeypatch):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(60)) and not got[None].held_out
 
 
+def test_labels_of_every_byte():
+    """Pieces with their surroundings against one pass over each whole text; white space counts."""
+    rng = np.random.default_rng(8)
+    p = langid.init(3, hidden=5, seed=3)
+    for k in p:
+        p[k] = p[k] * 0.5  # states forget within AROUND bytes
+    texts = ["", "a b\n", "é漢 " * 200, "".join(rng.choice(list("abc \t"), 700)), None]
+    got = langid.Labeller(p).texts(pa.array(texts).fill_null(""))
+    for t, sums in zip(texts, got, strict=True):
+        codes = np.frombuffer((t or "").encode(), np.uint8)
+        padded = np.concatenate([np.full(16, 32, np.uint8), codes, np.full(16, 32, np.uint8)])
+        prob = langid._softmax(langid._states(p, padded[:, None]) @ p["w"] + p["b"])[16 : 16 + len(codes), 0]
+        assert np.allclose(sums, prob.sum(axis=0), atol=2e-2 * max(1, len(codes) / 100)) and np.isclose(sums.sum(), len(codes), rtol=1e-3)
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify_language(spark, docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'")
+    right, n = got.selectExpr("count_if(lang = lang_pred)", "count(1)").first()
+    assert n > 150 and right >= 0.98 * n, (right, n)
+
+
+def test_language_column_of_another_type(spark):
+    rows = [(i, ("the king and " if i % 2 else "çã ñu ") * 30, i % 2) for i in range(40)]
+    got = langid.identify_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang int")).collect()
+    assert {r.lang_pred for r in got} == {"0", "1"}
+    none = langid.accepted(spark.createDataFrame([(1, "ab", None), (2, "12", None)], "doc_id long, text string, lang string"))
+    assert [r.doc_id for r in none.collect()] == [1]
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "a<b>\\ </turn>"), (1, 1, "assistant", "<turn:user>x</turn>\n"), (2, None, None, None), (2, 0, "assistant", "é漢"), (None, 0, "as>s", "t"), (3, 0, "assistant", "")]
     chats = chat.format_chat(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))

@@ -64,7 +64,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for part in slices(batch):
             texts = pc.fill_null(part.column("text"), "").cast(pa.binary()).to_pylist()
             prints = np.frombuffer(b"".join([fingerprint(t.lower().split()) for t in texts]), ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(prints)], ["doc_id", "mark", "fp"])
 
 
 def _reference(k: int) -> int:
@@ -132,15 +132,16 @@ def links(spark: SparkSession, prints: DataFrame, distance: int = 2, crowd: int
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``fingerprint``, ``component_id`` and ``group_root``.
+    """One row per row of ``docs``: ``doc_id``, ``fingerprint``, ``component_id``, ``group_root`` and ``mark``.
 
-    ``component_id`` is the least id in the group of linked fingerprints and
-    ``group_root`` the group's own key (a fingerprint).
+    ``component_id`` is the least id in the group of linked fingerprints,
+    ``group_root`` the group's own key (a fingerprint), and ``mark`` a hash of
+    the text, which tells rows of one id apart.
     """
     scratch = Scratch(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = scratch.keep(rows.mapInArrow(_fingerprints, f"doc_id {kind}, fp long"), "prints")
+    rows = scratch.keep(rows.mapInArrow(_fingerprints, f"doc_id {kind}, mark long, fp long"), "prints")
     distinct = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     parts = connected_components(spark, links(spark, distinct, distance))
     linked = distinct.join(parts.withColumnRenamed("node", "fp"), "fp")
@@ -153,5 +154,5 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         "groups",
     )
     return rows.join(table, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_root"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_root", "mark"
     )

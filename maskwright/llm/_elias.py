@@ -18,8 +18,10 @@ import pyarrow.fs
 
 U = np.uint64
 _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
-#: Place of the k-th set bit of a byte.
-_NTH = np.array([[([i for i in range(8) if b >> i & 1] + [8] * 8)[k] for k in range(8)] for b in range(256)], np.uint8)
+#: Place of the k-th set bit of a byte, at eight times the byte plus k.
+_NTH = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[k] for b in range(256) for k in range(8)], np.uint8)
+#: Every byte's lowest bit, and its highest.
+_LOW, _HIGH = U(0x0101010101010101), U(0x8080808080808080)
 
 
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
@@ -60,13 +62,15 @@ class EliasFano:
         return cls(n, bits, arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.ones"])
 
     def _in_word(self, word: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th set bit of each word."""
-        parts = word.view(np.uint8).reshape(-1, 8)
-        total = np.cumsum(_ONES[parts], axis=1, dtype=np.int64)
-        byte = (total <= k[:, None]).sum(axis=1)
-        row = np.arange(len(word))
-        before = np.where(byte > 0, total[row, np.maximum(byte - 1, 0)], 0)
-        return byte * 8 + _NTH[parts[row, np.minimum(byte, 7)], np.minimum(k - before, 7)]
+        """Place of the k-th set bit of each word, all bytes of a word at once."""
+        k = k.astype(U)
+        x = word - ((word >> U(1)) & U(0x5555555555555555))
+        x = (x & U(0x3333333333333333)) + ((x >> U(2)) & U(0x3333333333333333))
+        total = ((x + (x >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * _LOW  # each byte: ones up to it
+        fits = (((k * _LOW) | _HIGH) - total) & _HIGH  # set where a byte's total is at most k
+        bits = np.minimum(((fits >> U(7)) * _LOW) >> U(56), U(7)) << U(3)  # whole bytes before the bit, in bits
+        rest = np.minimum(k - (((total << U(8)) >> bits) & U(255)), U(7))
+        return (bits + _NTH[((((word >> bits) & U(255)) << U(3)) | rest).astype(np.int64)]).astype(np.int64)
 
     def _select1(self, k: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, k, "right") - 1

@@ -63,6 +63,7 @@ CONTEXT, WORD = 36, 28
 END, START = 0, 1
 #: Steps of the byte codes of a decade of probability and of back-off weight.
 P_STEP, B_STEP = 25, 50
+_OF_P, _OF_B = 10 ** (-np.arange(256) / P_STEP), 10 ** (-np.arange(256) / B_STEP)
 #: Tasks that add up the contexts which may be dealt at the next level.
 SIDE = 8
 
@@ -341,10 +342,9 @@ class Trie:
 
     @staticmethod
     def _by_shard(level: Level, at: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
-        """Each shard's path and the places, some thousand at a time, of the hashes that belong to it."""
-        shard = _shard_of(at, level.bits)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange((1 << level.bits) + 1))
+        """Each shard's path and the places, in order of the hashes and some thousand at a time, of those that belong to it."""
+        order = np.argsort(at)
+        cuts = np.searchsorted(_shard_of(at[order], level.bits), np.arange((1 << level.bits) + 1))
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             if s in level.paths:
                 for i in range(cuts[s], cuts[s + 1], PIECE):
@@ -371,17 +371,19 @@ class Trie:
         dealt = level.hot.deal(context, word)
         for path, some in self._by_shard(level, dealt):
             ef = self._mapped(path, "context", "pointer", "next")
-            asked, at = np.unique(_context_key(dealt[some], level.bits), return_inverse=True)
-            place = ef["context"].find(asked)
+            key = _context_key(dealt[some], level.bits)  # in order
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            place = ef["context"].find(key[new])
             known = np.flatnonzero(place >= 0)
             lo, hi = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
             lo[known], hi[known] = (ef["pointer"].access(place[known] + k).astype(np.int64) for k in (0, 1))
+            at = np.cumsum(new) - 1
             ok = place[at] >= 0
             some, at = some[ok], at[ok]
-            left[some] = 10 ** (-ef["b"][place[at]].astype(float) / B_STEP)
+            left[some] = _OF_B[ef["b"][place[at]]]
             got = ef["next"].find((place[at].astype(U) << U(WORD)) | (word[some] & U((1 << WORD) - 1)), lo[at], hi[at])
             hit = got >= 0
-            share[some[hit]] = 10 ** (-ef["p"][got[hit]].astype(float) / P_STEP)
+            share[some[hit]] = _OF_P[ef["p"][got[hit]]]
         some, at = level.hot.find(context)
         left[some] = 10 ** level.hot.back[at]
         return share, left
@@ -395,9 +397,8 @@ class Trie:
         for n in range(2, len(self.levels) + 1):
             before, has = contexts(tokens, bounds, n)
             place = np.flatnonzero(has)
-            _, first, of = np.unique(mix(before[place]) + tokens[place], return_index=True, return_inverse=True)
-            share, left = self.seen(n, before[place[first]], tokens[place[first]])
-            p[place] = share[of] + left[of] * p[place]
+            share, left = self.seen(n, before[place], tokens[place])
+            p[place] = share + left * p[place]
         return counts[at], np.log10(base)[at], np.log10(p)
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Words that carry no context.
 STOP = (
     "the and for you are with this that have from was not but they will would there their what about which when your all can has had our out who get "
-    "been more one time some had said may please thank thanks regards subject date message sent from mailto original http https com www"
+    "been more one time some had said may please thank thanks regards subject date message sent from mailto original http https com www enron"
 ).split()
 
 
@@ -37,30 +42,81 @@ def prior(names: DataFrame, top: int | None = None) -> DataFrame:
     return rows.join(F.broadcast(total)).selectExpr("name", "n / total_ as weight")
 
 
+def degrade(prior_: DataFrame, top: int) -> DataFrame:
+    """The ``top`` heaviest names of a prior, weights normalised anew."""
+    return prior(prior_.selectExpr("name", "weight as n"), top)
+
+
+#: Names that the spread of scores is taken over, by an even stride of about so many.
+STRIDE = 2_000
+
+
 def align(observed: DataFrame, prior_: DataFrame, phi: float) -> DataFrame:
-    """Guess for every observed surface: the name whose expected count is nearest in log space.
+    """Guess for every observed surface: of the names, sorted by expected count, the one whose score ``-|ln((n + 1) / (expected + 1))|`` is best.
 
-    Equal counts get equal guesses, so distinct counts meet the names: the two
-    nearest below and above come from one sort-based as-of pass.  Abstains where
-    the best does not stand out from the runner-up by ``phi`` deviations.
+    Abstains where best and runner-up differ by less than ``phi`` deviations of
+    the scores.  Equal counts get equal guesses, and of names of one expected
+    count only the last two can be best or runner-up (a tie goes to the later in
+    (expected, name) order): so distinct counts meet distinct expected values,
+    both few, in one sorted pass, each with the two nearest on either side.
     """
     total = observed.agg(F.sum("n").alias("all_"))
-    counts = observed.select("n").distinct().selectExpr("ln(n) as k", "n", "cast(null as string) as name")
-    names = prior_.join(F.broadcast(total)).selectExpr("ln(weight * all_) as k", "cast(null as bigint) as n", "name").where("k is not null")
-    # equal expected counts: the greatest name stands for them
-    names = names.groupBy("k").agg(F.max("name").alias("name")).selectExpr("k", "cast(null as bigint) as n", "name")
-    both = counts.unionAll(names)
-    s = "if(name is null, null, struct(k, name))"
-    up, down = "rows between unbounded preceding and current row", "rows between current row and unbounded following"
-    o = "order by k, n nulls first"
-    near = both.selectExpr("k", "n", f"last({s}, true) over ({o} {up}) as lo", f"first({s}, true) over ({o} {down}) as hi").where("n is not null")
-    pick = near.selectExpr("n", "k", "lo", "hi", "coalesce(k - lo.k, double('infinity')) as dl", "coalesce(hi.k - k, double('infinity')) as dh")
-    pick = pick.selectExpr("n", "if(dh <= dl, hi.name, lo.name) as guess", "least(dl, dh) as best_", "greatest(dl, dh) as next_")
-    spread = names.agg(F.stddev_pop("k").alias("sd_"))
-    pick = pick.join(F.broadcast(spread)).selectExpr("n", "guess", f"coalesce((next_ - best_) / nullif(sd_, 0) < {phi}D, false) as abstains")
+    names = prior_.where("weight > 0").join(F.broadcast(total)).selectExpr("weight * all_ as e", "name")
+    values = names.groupBy("e").agg(F.count(F.lit(1)).alias("many"), F.max("name").alias("last")).selectExpr("cast(e as double) as e", "many", "last")
+    counts = observed.groupBy("n").agg(F.count(F.lit(1)).alias("surfaces_"))
+
+    def nearest(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(frames)).to_pandas()
+        v, c = table[table["n"].isna()].sort_values(["e", "last"]), table[table["n"].notna()]
+        e, many, last = v["e"].to_numpy(float), v["many"].to_numpy(np.int64), v["last"].to_numpy(object)
+        if not len(e):
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({"n": c["n"].astype(np.int64), "guess": None, "abstains": True}), schema=out, preserve_index=False)
+            return
+        size = int(many.sum())
+        ends = np.cumsum(many)
+        sample = e[np.searchsorted(ends, np.arange(0, size, max(1, size // STRIDE)), "right")]
+        rows = []
+        for n in c["n"].astype(np.int64).tolist():
+            at = int(np.searchsorted(e, n, "left"))
+            near = []
+            for i in range(max(0, at - 2), min(len(e), at + 3)):
+                near += [(-abs(np.log(n + 1) - np.log(e[i] + 1)), i)] * int(min(many[i], 2))
+            near.sort(reverse=True)
+            scores = -np.abs(np.log(n + 1) - np.log(sample + 1))
+            sd, best = float(scores.std()), near[0][0]
+            lead = best - near[1][0] if len(near) > 1 else 0.0
+            rows.append((n, last[near[0][1]], bool(sd > 0 and lead / sd < phi or sd == 0)))
+        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["n", "guess", "abstains"]), schema=out, preserve_index=False)
+
+    out = pa.schema([("n", pa.int64()), ("guess", pa.string()), ("abstains", pa.bool_())])
+    # one row for each distinct count and each distinct expected value
+    both = counts.selectExpr("n", "cast(null as double) as e", "cast(null as bigint) as many", "cast(null as string) as last").unionAll(values.selectExpr("cast(null as bigint) as n", "e", "many", "last"))
+    pick = both.repartition(1).mapInArrow(nearest, "n long, guess string, abstains boolean")
     return observed.join(pick, "n").select("surface", "n", "guess", "abstains")
 
 
+def a2_score(aligned: DataFrame, truth: DataFrame, candidates: int) -> DataFrame:
+    """``truth(surface, entity, real)`` (``real``: a name left as it was) -> counts of outcomes, accuracies and c@1.
+
+    A surface with one entity guessed right is 1-to-1, with several 1-to-many;
+    an entity behind several surfaces makes it many-to-.  Names left in the
+    clear count as recovered by reading but not by alignment.
+    """
+    per = truth.groupBy("surface").agg(F.collect_set(F.expr("if(real, null, entity)")).alias("entities"), F.max(F.col("real").cast("int")).alias("left_"))
+    spread = truth.where("not real").groupBy("entity").agg(F.countDistinct("surface").alias("surfaces"))
+    lone = truth.where("not real").join(spread, "entity").groupBy("surface").agg(F.max("surfaces").alias("surfaces"))
+    rows = aligned.join(per, "surface", "left").join(lone, "surface", "left")
+    rows = rows.selectExpr("*", "coalesce(size(entities) = 0 and left_ = 1, false) as read_", "coalesce(array_contains(entities, guess), false) and not abstains as right_")
+    rows = rows.selectExpr("*", "case when read_ then 'undetected' when abstains then 'abstained' when right_ then concat(if(surfaces > 1, 'many', '1'), '_to_', if(size(entities) > 1, 'many', '1')) else 'wrong' end as outcome")
+    kinds = ["1_to_1", "1_to_many", "many_to_1", "many_to_many", "wrong", "abstained", "undetected"]
+    out = rows.agg(F.count(F.lit(1)).alias("observed"), *(F.count_if(F.col("outcome") == k).alias(f"n_{k}") for k in kinds))
+    out = out.selectExpr("*", "n_1_to_1 + n_1_to_many + n_many_to_1 + n_many_to_many as aligned_", "observed - n_abstained as attempted").selectExpr("*", "aligned_ + n_undetected as correct")
+    return out.selectExpr(
+        "observed", "attempted", *(f"n_{k}" for k in kinds), "correct", "correct / nullif(attempted, 0) as accuracy_attempted", "aligned_ / nullif(attempted - n_undetected, 0) as accuracy_alignment",
+        "(correct + correct / observed * n_abstained) / observed as c_at_1", f"1D / {candidates} as chance",
+    )
+
+
 def neighbours(mentions: DataFrame) -> DataFrame:
     """``entity, other, w``: once for every mention and other entity of its document."""
     per = mentions.groupBy("doc_id", "entity").agg(F.count(F.lit(1)).alias("m"))
@@ -77,21 +133,113 @@ def context(docs: DataFrame, mentions: DataFrame, reach: int = 120, by: tuple[st
     return terms.where(f"term not in ({stop})").groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def featurise(bags: DataFrame, vocabulary: int) -> DataFrame:
-    """``side, entity, term, n`` -> ``w``: log counts over the most frequent terms of both sides, unit length."""
-    top = bags.groupBy("term").agg(F.sum("n").alias("total_")).orderBy(F.desc("total_"), "term").limit(vocabulary).select("term")
-    rows = bags.join(F.broadcast(top), "term").selectExpr("side", "entity", "term", "log1p(n) as w")
-    norm = rows.groupBy("side", "entity").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm_"))
-    return rows.join(norm, ["side", "entity"]).selectExpr("side", "entity", "term", "w / norm_ as w")
+def profiles(docs: DataFrame, mentions: DataFrame, reach: int = 120, by: tuple[str, ...] = ("side", "entity")) -> DataFrame:
+    """``mentions(side, entity, doc_id, start, end)`` -> ``side, entity, mentions, documents, degree, weight, terms``: what an attacker sees of each.
 
-
-def rank(features: DataFrame) -> DataFrame:
-    """Cosine linkage: for each query entity also in the gallery its truth's rank (1 + gallery entities more similar; ties by key)."""
-    q, g = features.where("side = 'query'").selectExpr("entity as query", "term", "w as wq"), features.where("side = 'gallery'").selectExpr("entity as candidate", "term", "w as wg")
-    sims = q.join(g, "term").groupBy("query", "candidate").agg(F.round(F.sum(F.col("wq") * F.col("wg")), 9).alias("sim"))
-    truth = sims.where("query = candidate").selectExpr("query", "sim as true_sim")
-    better = sims.join(truth, "query").where("sim > true_sim or sim = true_sim and candidate < query").groupBy("query").agg(F.count(F.lit(1)).alias("ahead"))
-    return truth.join(better, "query", "left").selectExpr("query", "coalesce(ahead, 0) + 1 as rank")
+    ``degree`` and ``weight`` count the other entities of its documents, once
+    for every mention and other entity; they come from document totals, not
+    from pairs.  ``terms`` is the bag of context words.
+    """
+    per = mentions.groupBy("side", "doc_id", "entity").agg(F.count(F.lit(1)).alias("m"))
+    rows = per.join(per.groupBy("side", "doc_id").agg(F.count(F.lit(1)).alias("k")), ["side", "doc_id"])
+    counts = rows.groupBy(*by).agg(F.sum("m").alias("mentions"), F.count(F.lit(1)).alias("documents"), F.sum(F.expr("m * (k - 1)")).alias("weight"))
+    # the degree is a count of distinct others: as many as its documents hold, less those met twice
+    many = rows.where("k > 1").groupBy(*by).agg(F.count(F.lit(1)).alias("d"), F.sum(F.expr("k - 1")).alias("one"))
+    shared = many.where("d > 1").select(*by)
+    again = per.join(shared, list(by), "left_semi").select("side", "doc_id", F.col("entity").alias("of_"))
+    degree = again.join(per.select("side", "doc_id", F.col("entity").alias("other")), ["side", "doc_id"]).where("of_ <> other").groupBy("side", F.col("of_").alias("entity")).agg(F.countDistinct("other").alias("seen"))
+    counts = counts.join(many, list(by), "left").join(degree, list(by), "left").selectExpr(*by, "mentions", "documents", "coalesce(seen, one, 0) as degree", "weight")
+    bags = context(docs, mentions, reach, by).groupBy(*by).agg(F.collect_list(F.struct("term", "n")).alias("terms"))
+    return counts.join(bags, list(by), "left")
+
+
+def vocabulary(profiles_: DataFrame, top: int) -> DataFrame:
+    """``term, col``: the ``top`` most frequent context words of both sides, ties by name (so few that they are broadcast)."""
+    total = profiles_.selectExpr("explode(terms) as t").groupBy("t.term").agg(F.sum("t.n").alias("total_")).orderBy(F.desc("total_"), "term").limit(top)
+    return total.selectExpr("term", "row_number() over (order by total_ desc, term) - 1 as col")
+
+
+def featurise(profiles_: DataFrame, terms: DataFrame, top: int) -> DataFrame:
+    """``side, entity, cols, ws``: log counts of the vocabulary and four structural features (columns ``top`` to ``top + 3``), of unit length, sparse."""
+    bags = profiles_.selectExpr("side", "entity", "explode(terms) as t").selectExpr("side", "entity", "t.term as term", "t.n as n")
+    bags = bags.join(F.broadcast(terms), "term").groupBy("side", "entity").agg(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), F.expr("log1p(n) as w"))).alias("f"))
+    rows = profiles_.select("side", "entity", "mentions", "documents", "degree", "weight").join(bags, ["side", "entity"], "left")
+    own = ", ".join(f"struct({top + i} as col, log1p({c}) as w)" for i, c in enumerate(("mentions", "documents", "degree", "weight")))
+    rows = rows.selectExpr("side", "entity", f"array_sort(concat(coalesce(f, cast(array() as array<struct<col: int, w: double>>)), filter(array({own}), x -> x.w > 0))) as f")
+    rows = rows.selectExpr("side", "entity", "f", "greatest(sqrt(aggregate(f, 0D, (a, x) -> a + x.w * x.w)), 1e-9) as norm_")
+    return rows.selectExpr("side", "entity", "transform(f, x -> x.col) as cols", "transform(f, x -> x.w / norm_) as ws")
+
+
+#: Entities of a block, and columns used by at least one in ``COMMON`` of a block's gallery (those are multiplied as a dense matrix).
+RANKED, COMMON = 2048, 64
+
+
+def _sparse(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, rows["cols"]), np.int64, len(rows))
+    flat = lambda c, kind: np.concatenate([*rows[c].to_numpy(), []]).astype(kind)
+    return np.repeat(np.arange(len(rows)), size), flat("cols", np.int64), flat("ws", float)
+
+
+def similarity(queries: pd.DataFrame, gallery: pd.DataFrame) -> np.ndarray:
+    """Dot products of sparse rows (``cols``, ``ws``): common columns by a dense product, the rest column by column."""
+    (qi, qc, qw), (gi, gc, gw) = _sparse(queries), _sparse(gallery)
+    width = int(max(qc.max(initial=-1), gc.max(initial=-1))) + 1
+    often = np.bincount(gc, minlength=width) * COMMON >= len(gallery)
+    slot = np.cumsum(often) - 1
+    q, g = np.zeros((len(queries), int(often.sum()))), np.zeros((len(gallery), int(often.sum())))
+    pick = often[qc]
+    q[qi[pick], slot[qc[pick]]] = qw[pick]
+    pick = often[gc]
+    g[gi[pick], slot[gc[pick]]] = gw[pick]
+    out = q @ g.T
+    rest = ~often[gc]
+    order = np.argsort(gc[rest], kind="stable")
+    gi, gc, gw = gi[rest][order], gc[rest][order], gw[rest][order]
+    rest = ~often[qc]
+    qi, qc, qw = qi[rest], qc[rest], qw[rest]
+    lo, hi = np.searchsorted(gc, qc, "left"), np.searchsorted(gc, qc, "right")
+    n = hi - lo
+    at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    np.add.at(out.reshape(-1), np.repeat(qi, n) * len(gallery) + gi[at], np.repeat(qw, n) * gw[at])
+    return out
+
+
+def rank(features: DataFrame, weights: dict[int, float] | None = None) -> DataFrame:
+    """``query, rank``: for each query entity whose truth is in the gallery, the truth's place by cosine in the whole gallery (ties by key, nine decimals).
+
+    Each query carries the similarity to its truth; blocks of queries meet
+    blocks of the gallery and return counts of better candidates, never pairs.
+    """
+    if weights is not None:
+        table = F.create_map(*(F.lit(x) for k, w in weights.items() for x in (k, float(w))))
+        features = features.withColumn("m_", table).selectExpr("side", "entity", "cols", "zip_with(cols, ws, (c, w) -> w * coalesce(m_[c], 1D)) as ws")
+        features = features.selectExpr("side", "entity", "cols", "transform(ws, w -> w / greatest(sqrt(aggregate(ws, 0D, (a, x) -> a + x * x)), 1e-9)) as ws")
+    gallery = features.where("side = 'gallery'").selectExpr("entity", "cols", "ws")
+    queries = features.where("side = 'query'").selectExpr("entity", "cols", "ws").join(gallery.selectExpr("entity", "cols as tc", "ws as tw"), "entity")
+    n_q, n_g = (max(1, -(-x.count() // RANKED)) for x in (queries, gallery))
+    q = queries.selectExpr("entity", "cols", "ws", "tc", "tw", f"pmod(xxhash64(entity), {n_q}) as a").groupBy("a").agg(F.collect_list(F.struct("entity", "cols", "ws", "tc", "tw")).alias("q"))
+    g = gallery.selectExpr("entity", "cols", "ws", f"pmod(xxhash64(entity, 1), {n_g}) as b").groupBy("b").agg(F.collect_list(F.struct("entity", "cols", "ws")).alias("g"))
+    # every block of queries against every block of the gallery: dealt over tasks by both
+    left = q.selectExpr("a", "q", f"explode(sequence(0L, {n_g - 1}L)) as b")
+    met_ = left.join(g.hint("merge"), "b").repartition(max(1, min(n_q * n_g, 100_000)), "a", "b")
+
+    def better(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for mine, theirs in zip(frame["q"], frame["g"], strict=True):
+                a, b = (pd.DataFrame.from_records(list(x)) for x in (mine, theirs))
+                a, b = a.sort_values("entity"), b.sort_values("entity")
+                truth = np.round([float(np.dot(*_aligned(*x))) for x in zip(a["cols"], a["ws"], a["tc"], a["tw"], strict=True)], 9)[:, None]
+                sim = np.round(similarity(a, b), 9)
+                before = b["entity"].to_numpy()[None, :] < a["entity"].to_numpy()[:, None]
+                yield pd.DataFrame({"query": a["entity"].to_numpy(), "ahead": ((sim > truth) | (sim == truth) & before).sum(axis=1)})
+
+    counted = met_.select("q", "g").mapInPandas(better, "query string, ahead long")
+    return counted.groupBy("query").agg((F.sum("ahead") + 1).alias("rank"))
+
+
+def _aligned(cols: np.ndarray, ws: np.ndarray, tc: np.ndarray, tw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both, i, j = np.intersect1d(cols, tc, assume_unique=True, return_indices=True)
+    return np.asarray(ws)[i], np.asarray(tw)[j]
 
 
 def rank_summary(ranks: DataFrame) -> DataFrame:

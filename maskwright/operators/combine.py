@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RULES = ("union", "intersection", "vote2", "majority", "widest")
+from ..functions.text import met
 
 
 def cluster_single(spans: DataFrame) -> DataFrame:
     """Adds ``cluster``: transitive overlap (touching spans don't) by a running maximum of ends."""
     w = "partition by doc_id, type order by start, end, detector"
-    rows = spans.selectExpr("*", f"max(end) over ({w} rows between unbounded preceding and 1 preceding) as reach_")
+    # dealt by document once: all later windows and groups of a document's spans stay in place
+    rows = spans.repartition("doc_id").selectExpr("*", f"max(end) over ({w} rows between unbounded preceding and 1 preceding) as reach_")
     return rows.selectExpr(
         *(f"`{c}`" for c in spans.columns), f"cast(sum(case when reach_ is null or start >= reach_ then 1 else 0 end) over ({w} rows between unbounded preceding and current row) as int) as cluster"
     )
@@ -44,9 +45,12 @@ def combine(spans: DataFrame, docs: DataFrame, rule: str, weights: dict[str, flo
     clustered = cluster_single(spans)
     keys = "partition by doc_id, type, cluster"
     rows = clustered.selectExpr(
-        "*", "end - start as len_", f"min(start) over ({keys}) as env_start", f"max(end) over ({keys}) as env_end", f"size(collect_set(detector) over ({keys})) as votes",
-        "size(collect_set(detector) over (partition by doc_id)) as present", "count(1) over (partition by doc_id, type, cluster, start, end) as agreed_",
+        "*", "end - start as len_", f"min(start) over ({keys}) as env_start", f"max(end) over ({keys}) as env_end", f"size(collect_set(detector) over ({keys})) as votes"
     )
+    if rule in ("intersection", "majority"):
+        rows = rows.selectExpr("*", "size(collect_set(detector) over (partition by doc_id)) as present")
+    if rule not in ("union", "widest", "intersection"):
+        rows = rows.selectExpr("*", "count(1) over (partition by doc_id, type, cluster, start, end) as agreed_")
     if rule == "weighted":
         table = " ".join(f"when '{k}' then {v}D" for k, v in (weights or {}).items()) or "when '' then 1D"
         once = "row_number() over (partition by doc_id, type, cluster, detector order by start, end)"
@@ -70,20 +74,46 @@ def cascade(spans: DataFrame, order: list[str]) -> DataFrame:
     return rows.selectExpr("doc_id", "type", f"explode({fold}) as x").selectExpr("doc_id", "type", "x.start as start", "x.end as end", "x.detector as detector")
 
 
-def token_vote(spans: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``doc_id, ord, type`` of tokens that over half of the document's detectors cover: the type most of them give (first by name on a tie)."""
+def token_vote(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, ord, start, end, type, n, label`` of tokens that over half of the document's detectors cover.
+
+    The type is the one most detectors give (first by name on a tie); the label
+    is ``B`` where at least half of those detectors begin a span there, else ``I``.
+    """
     present = spans.groupBy("doc_id").agg(F.countDistinct("detector").alias("present"))
-    hit = tokens.alias("t").join(spans.alias("s"), F.expr("t.doc_id = s.doc_id and t.end > s.start and t.start < s.end"))
-    hit = hit.selectExpr("t.doc_id", "t.ord", "s.detector", "s.type").distinct()
-    votes = hit.groupBy("doc_id", "ord", "type").agg(F.countDistinct("detector").alias("n"))
-    total = hit.groupBy("doc_id", "ord").agg(F.countDistinct("detector").alias("covered"))
-    best = votes.selectExpr("*", "row_number() over (partition by doc_id, ord order by n desc, type) as nth_").where("nth_ = 1")
-    return best.join(total, ["doc_id", "ord"]).join(present, "doc_id").where("2 * covered > present").select("doc_id", "ord", "type", "n")
-
-
-def bio(spans: DataFrame, tokens: DataFrame) -> DataFrame:
-    """B/I labels of tokens: each token goes to the first span by start, then longest, that covers it."""
-    hit = tokens.alias("t").join(spans.alias("s"), F.expr("t.doc_id = s.doc_id and t.end > s.start and t.start < s.end"))
-    hit = hit.selectExpr("t.doc_id", "t.ord", "s.start as s0", "s.end as s1", "s.type", "row_number() over (partition by t.doc_id, t.ord order by s.start, s.start - s.end, s.type) as nth_").where("nth_ = 1")
-    first = "ord = min(ord) over (partition by doc_id, s0, s1, type)"
-    return hit.selectExpr("doc_id", "ord", f"concat(case when {first} then 'B-' else 'I-' end, type) as label")
+    toks = met(docs, spans.selectExpr("doc_id", "start", "end", "type", "detector"))
+    first = toks.selectExpr("doc_id", "explode(hits) as h", "ord").groupBy("doc_id", "h.start", "h.end", "h.type", "h.detector").agg(F.min("ord").alias("first"))
+    rows = toks.selectExpr("doc_id", "ord", "start", "end", "size(array_distinct(transform(hits, h -> h.detector))) as covered", "explode(hits) as h")
+    rows = rows.join(first.selectExpr("doc_id as d2", "start as s2", "end as e2", "type as t2", "detector as x2", "first"), F.expr("doc_id = d2 and h.start = s2 and h.end = e2 and h.type = t2 and h.detector = x2"))
+    votes = rows.groupBy("doc_id", "ord", "start", "end", "covered", "h.type").agg(F.countDistinct("h.detector").alias("n"), F.countDistinct(F.expr("if(first = ord, h.detector, null)")).alias("begins"))
+    best = votes.groupBy("doc_id", "ord", "start", "end", "covered").agg(F.min(F.struct((-F.col("n")).alias("k"), "type", "begins")).alias("b"))
+    best = best.join(present, "doc_id").where("2 * covered > present")
+    return best.selectExpr("doc_id", "ord", "start", "end", "b.type as type", "-b.k as n", "concat(if(2 * b.begins >= -b.k, 'B-', 'I-'), b.type) as label")
+
+
+def bio(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, ord, start, end, label``: each token goes to the first span by start, then longest, that covers it; B at a span's first token."""
+    toks = met(docs, spans.selectExpr("doc_id", "start", "start - end as len_", "type", "end")).selectExpr("doc_id", "ord", "start", "end", "hits[0] as h")
+    first = "ord = min(ord) over (partition by doc_id, h.start, h.end, h.type)"
+    return toks.selectExpr("doc_id", "ord", "start", "end", f"concat(if({first}, 'B-', 'I-'), h.type) as label")
+
+
+def decode_bio(labelled: DataFrame) -> DataFrame:
+    """``doc_id, ord, start, end, label`` (O may be left out) -> spans: a B, a change of type or a gap opens one, and so does a stray I."""
+    rows = labelled.where("label <> 'O'").selectExpr("doc_id", "ord", "start", "end", "substring(label, 3) as type", "label like 'B-%' as b_")
+    w = "over (partition by doc_id order by ord)"
+    rows = rows.selectExpr("*", f"b_ or coalesce(lag(ord) {w} <> ord - 1, true) or lag(type) {w} <> type as new_")
+    rows = rows.selectExpr("*", "sum(cast(new_ as int)) over (partition by doc_id order by ord rows between unbounded preceding and current row) as run_")
+    return rows.groupBy("doc_id", "run_").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("type").alias("type")).drop("run_")
+
+
+def voters(chosen: DataFrame, spans: DataFrame) -> DataFrame:
+    """``chosen`` with ``voters``: the detectors of its type whose spans overlap each, sorted."""
+    pairs = chosen.alias("c").join(spans.alias("s"), F.expr("c.doc_id = s.doc_id and c.type = s.type and s.end > c.start and s.start < c.end"))
+    return pairs.groupBy("c.doc_id", "c.type", "c.start", "c.end").agg(F.array_sort(F.collect_set("s.detector")).alias("voters"))
+
+
+def pool_sizes(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """``pool, documents``: how many documents have spans of so many detectors; more than one row means that a share of votes is not one threshold."""
+    sizes = spans.groupBy("doc_id").agg(F.countDistinct("detector").alias("pool"))
+    return docs.select("doc_id").join(sizes, "doc_id", "left").na.fill(0, ["pool"]).groupBy("pool").agg(F.count(F.lit(1)).alias("documents"))

@@ -9,9 +9,7 @@ from ..functions import keys
 from ..functions.text import digest16
 
 KEY = b"maskwright-demo-key"
-
-_EDIT = "struct<start: int, end: int, text: string, type: string>"
-
+SIV_KEY = bytes(range(32))
 
 def resolve_overlaps(spans: DataFrame) -> DataFrame:
     """``doc_id, ord, start, end, text, type, kept``: left to right with a cursor; longer first at one start; a skipped span doesn't move the cursor."""
@@ -29,13 +27,28 @@ def assign(spans: DataFrame, normaliser: str = "N2", policy: str = "deterministi
     The first span by document and place gives a scope its surface; the index
     is a function of the scope, so only the surface needs a shuffle.
     """
+    keys.register(spans.sparkSession)
     norm = keys.NORMALISERS[normaliser]("text")
     rows = spans.selectExpr("*", f"{keys.entity_key('type', norm)} as entity_key")
     rows = rows.selectExpr("*", f"{keys.POLICIES[policy]('entity_key', 'doc_id', 'start')} as scope")
-    index = {"hmac": lambda: keys.hmac_index("scope", KEY), "hash": lambda: keys.hash_index("scope"), "table": lambda: keys.table_index("scope", 7, 1 << 32)}[technique]()
+    if technique == "unique":
+        return rows.join(drawn(rows.select("scope"), 7), "scope").select(*rows.columns, "idx")
+    index = {
+        "hmac": lambda: keys.hmac_index("scope", KEY), "hash": lambda: keys.hash_index("scope"), "table": lambda: keys.table_index("scope", 7, 1 << 32), "aes_siv": lambda: keys.siv_index("scope", "type", SIV_KEY)
+    }[technique]()
     return rows.selectExpr("*", f"{index} as idx")
 
 
+def drawn(scopes: DataFrame, seed: int, buckets: int = 4096) -> DataFrame:
+    """``scope, idx``: a draw without replacement, a scope's rank by seeded digest.
+
+    Ranks come from counts of digest buckets, so no task orders all scopes.
+    """
+    one = scopes.distinct().selectExpr("scope", f"sha2(concat_ws('|', '{seed}', scope), 256) as d_").selectExpr("*", f"cast(conv(substring(d_, 1, 8), 16, 10) as bigint) % 4294967296 div {(1 << 32) // buckets} as b_")
+    sums = one.groupBy("b_").count().selectExpr("b_", "coalesce(sum(count) over (order by b_ rows between unbounded preceding and 1 preceding), 0) as before_")
+    return one.join(F.broadcast(sums), "b_").selectExpr("scope", "before_ + row_number() over (partition by b_ order by d_, scope) - 1 as idx")
+
+
 def counter(spans: DataFrame) -> DataFrame:
     """``type, scope, ordinal`` by first appearance in (document, place) order within a type.
 
@@ -43,7 +56,22 @@ def counter(spans: DataFrame) -> DataFrame:
     sequence per type after the aggregation.
     """
     first = spans.groupBy("type", "scope").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    return first.selectExpr("type", "scope", "row_number() over (partition by type order by first) - 1 as ordinal")
+    # ranks within a document, then documents before it: no task orders all entities of a type
+    within = first.selectExpr("type", "scope", "first.doc_id as d_", "row_number() over (partition by type, first.doc_id order by first.start) as r_")
+    docs = within.groupBy("type", "d_").agg(F.count(F.lit(1)).alias("n_"))
+    before = ranked_sums(docs, "d_", "n_", "type")
+    return within.join(before, ["type", "d_"]).selectExpr("type", "scope", "before_ + r_ - 1 as ordinal")
+
+
+def ranked_sums(rows: DataFrame, order: str, size: str, *by: str) -> DataFrame:
+    """``by, order, before_``: the sum of ``size`` over smaller keys, from range partitions and one sum for each."""
+    spread = rows.select(*by, order, size).repartitionByRange(*by, order).selectExpr("*", "spark_partition_id() as p_")
+    # partitions are ranges of (by, order), so sums by partition are ordered by their number
+    sums = spread.groupBy(*by, "p_").agg(F.sum(size).alias("s_"))
+    part = f"partition by {', '.join(by)} " if by else ""
+    upto = sums.selectExpr(*by, "p_", f"coalesce(sum(s_) over ({part}order by p_ rows between unbounded preceding and 1 preceding), 0) as u_")
+    inner = f"coalesce(sum({size}) over (partition by {', '.join([*by, 'p_'])} order by {order} rows between unbounded preceding and 1 preceding), 0) as w_"
+    return spread.selectExpr("*", inner).join(upto, [*by, "p_"]).selectExpr(*by, order, "u_ + w_ as before_")
 
 
 def surrogate(type_: str = "type", idx: str = "idx", text: str = "text") -> str:
@@ -52,14 +80,35 @@ def surrogate(type_: str = "type", idx: str = "idx", text: str = "text") -> str:
         when {type_} = 'CODE' then {keys.format_preserving(text, idx)} else {text} end"""
 
 
-def checked_surrogate(spans: DataFrame, rounds: int = 8) -> DataFrame:
-    """Adds ``surrogate`` that differs from its source: rows that fail are redrawn, and only those, at most ``rounds`` times."""
+def differs(surrogate_: str = "surrogate", text: str = "text", type_: str = "type") -> str:
+    """Whether a drawn surrogate is another name than its source (types that aren't drawn pass)."""
+    return f"(not {type_} in ('PERSON', 'LOC', 'ORG', 'DEMOGRAPHIC') or lower({surrogate_}) <> lower({text}))"
+
+
+def consistent(surrogate_: str = "surrogate", text: str = "text", type_: str = "type") -> str:
+    """Whether a code's surrogate has the source's length, differs if the source has a letter or digit, and is a date or time if the source is one."""
+    alike = f"length({surrogate_}) = length({text}) and ({surrogate_} <> {text} or not {text} rlike '[A-Za-z0-9]')"
+    return f"({type_} <> 'CODE' or ({alike} and (not {keys.is_date(text)} or {keys.is_date(surrogate_)})))"
+
+
+def checked_surrogate(spans: DataFrame, predicate: str | None = None, draws: int = 512) -> DataFrame:
+    """Adds ``attempt`` and ``surrogate``: the first of ``draws`` deterministic draws that meets ``predicate``; an error if none does.
+
+    Attempt 0 uses the index itself.  Later draws are made inside the row and
+    only for rows that fail, up to the first that passes.
+    """
+    ok = predicate or f"{differs()} and {consistent()}"
     rows = spans.withColumns({"attempt": F.lit(0), "surrogate": F.expr(surrogate())})
-    bad = "type in ('PERSON', 'LOC', 'ORG') and lower(surrogate) = lower(text)"
-    for n in range(1, rounds + 1):
-        again = keys.redraw("idx", str(n))
-        rows = rows.selectExpr(*(f"`{c}`" for c in spans.columns), f"if({bad}, {n}, attempt) as attempt", f"if({bad}, {surrogate(idx=f'({again})')}, surrogate) as surrogate")
-    return rows
+    kept = [f"`{c}`" for c in spans.columns]
+    for n in range(1, 4):  # nearly all rows that fail pass within these
+        again = surrogate(idx=f"({keys.redraw('idx', str(n))})")
+        rows = rows.selectExpr(*kept, f"if({ok}, attempt, {n}) as attempt", f"if({ok}, surrogate, {again}) as surrogate")
+    held = ok.replace("surrogate", "x.surrogate")
+    drawn = f"transform(sequence(4, {draws - 1}), n -> struct(n as attempt, {surrogate(idx='(' + keys.redraw('idx', 'n') + ')')} as surrogate))"
+    found = f"get(filter({drawn}, x -> {held}), 0)"
+    rows = rows.selectExpr(*kept, f"if({ok}, struct(attempt, surrogate), {found}) as drawn_")
+    rows = rows.selectExpr(*kept, f"if(drawn_ is null, raise_error('no surrogate passes in {draws} draws'), drawn_) as drawn_")
+    return rows.selectExpr(*kept, "drawn_.attempt as attempt", "drawn_.surrogate as surrogate")
 
 
 def edits(resolved: DataFrame, replacement: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import keys
+from .construct import ranked_sums
+
 _FOLD = r"trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' '))"
 
 
@@ -13,6 +16,12 @@ def exact(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("doc_id", f"sha1({_FOLD}) as digest").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
+def members(docs: DataFrame) -> DataFrame:
+    """``doc_id, digest, representative``: every document with the least id of its exact copies."""
+    rows = docs.selectExpr("doc_id", f"sha1({_FOLD}) as digest")
+    return rows.join(rows.groupBy("digest").agg(F.min("doc_id").alias("representative")), "digest").select("doc_id", "digest", "representative")
+
+
 def shingles(docs: DataFrame, size: int = 5) -> DataFrame:
     """``doc_id, shingle``: distinct hashes of lower-cased word runs."""
     rows = docs.selectExpr("doc_id", f"filter(split(lower({_FOLD}), ' '), w -> w <> '') as w")
@@ -38,15 +47,29 @@ def near_pairs(docs: DataFrame, jaccard: float = 0.8, containment: float = 0.9,
     # the smaller side's head against all of the larger: what both share is at least t of the smaller
     some = a.join(b, "shingle").where(f"(np < nq or np = nq and p < q) and (np >= {jaccard}D * nq or np >= {least})").select("p", "q", "np", "nq").distinct()
     some = some.selectExpr("least(p, q) as a", "greatest(p, q) as b", "if(p < q, np, nq) as na", "if(p < q, nq, np) as nb")
-    x, y = rows.selectExpr("doc_id as a", "shingle"), rows.selectExpr("doc_id as b", "shingle")
-    met = some.join(x, "a").join(y, ["b", "shingle"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both_"))
+    # a pair carries both sets, so no shingle is a key again
+    sets = rows.groupBy("doc_id").agg(F.collect_list("shingle").alias("set_"))
+    met = some.join(sets.withColumnsRenamed({"doc_id": "a", "set_": "x_"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "set_": "y_"}), "b").withColumn("both_", F.expr("size(array_intersect(x_, y_))"))
     met = met.selectExpr("a", "b", "both_ / (na + nb - both_) as jaccard", "both_ / least(na, nb) as containment", "least(na, nb) as smaller_")
     return met.where(f"jaccard >= {jaccard}D or containment >= {containment}D and smaller_ >= {least}").drop("smaller_")
 
 
 def thread_key(c: str) -> str:
-    """Subject without reply and forward prefixes, folded."""
-    return rf"lower(trim(regexp_replace({c}, '^([ ]*(?i:re|fw|fwd|aw|wg)[ ]*(\\[[0-9]+\\])?[ ]*:[ ]*)+', '')))"
+    """Subject without reply and forward prefixes, case- and space-folded; null if nothing is left."""
+    bare = rf"regexp_replace({c}, '^([ \\t\\n\\x0B\\f\\r]*(?i:re|fwd|fw|aw|wg|antw)[ \\t\\n\\x0B\\f\\r]*(\\[[0-9]+\\])?[ \\t\\n\\x0B\\f\\r]*:[ \\t\\n\\x0B\\f\\r]*)+', '')"
+    return f"nullif({keys.n1(bare)}, '')"
+
+
+def draw(units: DataFrame, budget: int, cap: int, seed: int) -> DataFrame:
+    """``units(unit, mailbox, size)`` -> those taken: in digest order at most ``cap`` of a mailbox, as long as whole units fit the budget of documents.
+
+    A mailbox's first ``cap`` come from its least digests; the budget is met by
+    sums over range partitions of the digest order.
+    """
+    rows = units.selectExpr("*", f"sha2(concat('{seed}|', cast(unit as string)), 256) as d_")
+    rows = rows.selectExpr("*", "row_number() over (partition by mailbox order by d_, unit) as r_").where(f"r_ <= {cap}")
+    before = ranked_sums(rows, "d_", "size")
+    return rows.join(before, "d_").where(f"before_ + size <= {budget}").select(*(f"`{c}`" for c in units.columns))
 
 
 def sections(headings: DataFrame) -> DataFrame:

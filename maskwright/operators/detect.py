@@ -19,16 +19,14 @@ LABELS = {"PER": "PERSON", "PERSON_NAME": "PERSON", "E_MAIL": "CODE", "ID_NUM":
 
 
 def detect(words: DataFrame) -> DataFrame:
-    """``words`` -> ``doc_id, detector, ord, start, end, text, type_src, score``; ``pair`` joins two capitalised words one character apart."""
+    """Words with their followers -> ``doc_id, detector, ord, start, end, text, type_src, score``; ``pair`` joins two capitalised words one character apart."""
     cap = "rlike '^[A-ZÀ-Þ][a-zß-ÿ]+$'"
-    w = "over (partition by doc_id order by ord)"
-    rows = words.selectExpr("*", f"lead(start) {w} as start2", f"lead(end) {w} as end2", f"lead(word) {w} as word2")
     one = "struct('{}' as detector, ord, start, {} as end, {} as text, '{}' as type_src, {}D as score)"
     found = [f"if(word rlike '{p}', {one.format(n, 'end', 'word', label, score)}, null)" for n, (p, label, score) in DETECTORS.items()]
     pair = one.format("pair", "end2", "concat(word, ' ', word2)", "PERSON NAME", 0.8)
     found.append(f"if(word {cap} and word2 {cap} and start2 = end + 1, {pair}, null)")
     # all detectors in one pass over the words
-    return rows.selectExpr("doc_id", f"inline(filter(array({', '.join(found)}), x -> x is not null))")
+    return words.selectExpr("doc_id", f"inline(filter(array({', '.join(found)}), x -> x is not null))")
 
 
 def gold(words: DataFrame) -> DataFrame:

@@ -11,40 +11,56 @@ from pyspark.sql import functions as F
 COST = {"strict": 0.3, "loose": 0.1, "title": 0.2, "mail": 0.05, "digits": 0.04, "pair": 0.6}
 
 
-def plan(detectors: list[str], rules: tuple[str, ...] = ("union", "intersection", "vote2"), largest: int = 3) -> list[tuple[str, str, tuple[str, ...]]]:
-    """Every subset up to ``largest`` by rule (single detectors only once), in a stable order."""
+def plan(
+    detectors: list[str], rules: tuple[str, ...] = ("union", "intersection", "vote2"), largest: int = 3, required: tuple[str, ...] = (), extras: tuple[str, ...] = (), smallest: int = 1
+) -> list[tuple[str, str, tuple[str, ...]]]:
+    """Every subset of ``smallest`` to ``largest`` detectors that holds the ``required`` ones, by rule, in a stable order, then the ``extras`` by label.
+
+    A single detector has no rule; a vote needs more members than votes (of
+    ``vote3`` as many: it is then the intersection, and left out).
+    """
     out = []
-    for k in range(1, largest + 1):
+    for k in range(smallest, largest + 1):
         for members in combinations(sorted(detectors), k):
+            if not set(required) <= set(members):
+                continue
             for rule in rules if k > 1 else ("single",):
-                if rule != "vote2" or k > 2:
+                if not rule.startswith("vote") or k > int(rule[4:]):
                     out.append((f"{rule}:{'+'.join(members)}", rule, members))
-    return out
+    known = {label for label, _, _ in out}
+    return out + [parse_label(x) for x in extras if x not in known]
+
+
+def parse_label(label: str) -> tuple[str, str, tuple[str, ...]]:
+    """``rule:a+b`` -> label, rule, members."""
+    rule, _, members = label.partition(":")
+    if not members or not (rule in ("single", "union", "intersection") or rule.startswith("vote") and rule[4:].isdigit()):
+        raise ValueError(f"not a span source: {label!r}")
+    return label, rule, tuple(members.split("+"))
 
 
-def sources(spark: SparkSession, detectors: list[str], largest: int = 3) -> DataFrame:
-    return spark.createDataFrame([(a, b, list(c)) for a, b, c in plan(detectors, largest=largest)], "source string, rule string, members array<string>")
+def sources(spark: SparkSession, detectors: list[str], **limits) -> DataFrame:
+    return spark.createDataFrame([(a, b, list(c)) for a, b, c in plan(detectors, **limits)], "source string, rule string, members array<string>")
 
 
-def swept_tokens(covered: DataFrame, sources_: DataFrame) -> DataFrame:
-    """``covered(doc_id, ord, detector)`` and the plan -> ``source, doc_id, ord``: one job for all sources.
+def token_sets(marked: DataFrame) -> DataFrame:
+    """``detectors, gold, n``: how many tokens each set of detectors covers, by whether a reference mention does.
 
-    A token's detectors meet the plan once per distinct detector set, not once
-    per token: sets are few, tokens are many.
+    ``marked`` has a row for every token (``metrics.marked``).  Sets are few
+    (two to the number of detectors), so whatever meets them is small.
     """
-    sets = covered.groupBy("doc_id", "ord").agg(F.array_sort(F.collect_set("detector")).alias("d"))
-    kinds = sets.select("d").distinct()
-    met = kinds.crossJoin(F.broadcast(sources_)).selectExpr("d", "source", "rule", "size(array_intersect(d, members)) as k", "size(members) as n")
-    met = met.where("case rule when 'intersection' then k = n when 'vote2' then k >= 2 else k >= 1 end").select("d", "source")
-    return sets.join(F.broadcast(met.groupBy("d").agg(F.collect_list("source").alias("s"))), "d").selectExpr("explode(s) as source", "doc_id", "ord")
-
-
-def sweep(gold: DataFrame, n_tokens: int, swept: DataFrame) -> DataFrame:
-    """Sensitivity, specificity and precision of every source at token grain."""
-    met = swept.join(gold.select("doc_id", "ord").withColumn("g", F.lit(1)), ["doc_id", "ord"], "left")
-    n_gold = gold.count()
-    rows = met.groupBy("source").agg(F.count(F.lit(1)).alias("predicted"), F.count("g").alias("hit"))
-    return rows.selectExpr("source", "predicted", "hit", f"hit / {max(n_gold, 1)} as sensitivity", f"1 - (predicted - hit) / {max(n_tokens - n_gold, 1)} as specificity", "hit / predicted as precision")
+    return marked.selectExpr("array_sort(sources) as detectors", "mention is not null as gold").groupBy("detectors", "gold").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sweep(sets: DataFrame, sources_: DataFrame) -> DataFrame:
+    """Sensitivity, specificity and precision of every source at token grain, all sources in one job over the sets."""
+    totals = sets.agg(F.sum("n").alias("all_"), F.sum(F.expr("if(gold, n, 0)")).alias("gold_"))  # one row
+    met = sets.crossJoin(F.broadcast(sources_)).selectExpr("source", "rule", "n", "gold", "size(array_intersect(detectors, members)) as k", "size(members) as m")
+    met = met.where("case rule when 'intersection' then k = m when 'vote2' then k >= 2 when 'vote3' then k >= 3 else k >= 1 end")
+    rows = met.groupBy("source").agg(F.sum("n").alias("predicted"), F.sum(F.expr("if(gold, n, 0)")).alias("hit")).join(F.broadcast(totals))
+    return rows.selectExpr(
+        "source", "predicted", "hit", "hit / greatest(gold_, 1) as sensitivity", "1 - (predicted - hit) / greatest(all_ - gold_, 1) as specificity", "hit / predicted as precision"
+    )
 
 
 def ensemble_cost(sources_: DataFrame) -> DataFrame:

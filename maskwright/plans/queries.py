@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..functions.text import digest16, tokens, words
 from ..operators import attacks, combine, construct, dedup, detect, metrics, sampling, select, stats
-from .sqltext import format_preserving, hmac_hex, index32, n2, synthetic, with_
+from .sqltext import format_preserving, hmac_hex, index32, n1, n2, synthetic, with_
 
 _KINDS = {"L": ("bigint", "BIGINT"), "S": ("string", "VARCHAR"), "B": ("boolean", "BOOLEAN"), "D": ("double", "DOUBLE")}
 
@@ -42,6 +42,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        keys.register(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -52,7 +53,7 @@ class Tables:
 
     @property
     def words(self) -> DataFrame:
-        return words(self.docs)
+        return words(self.docs, ahead=True)
 
     @property
     def tokens(self) -> DataFrame:
@@ -153,7 +154,7 @@ def _entity_keys(t: Tables) -> DataFrame:
     return names.selectExpr("name", *(f"{keys.NORMALISERS[k]('name')} as {k}" for k in ("N0", "N2", "N3", "N4")))
 
 
-query("casefold_key", "c_name:S key:S")(lambda t: t.table("customer").select("c_name", keys.casefold_key("c_name").alias("key")))
+query("casefold_key", "c_name:S key:S", f"SELECT c_name, {n1('c_name')} AS key FROM customer")(lambda t: t.table("customer").selectExpr("c_name", f"{keys.n1('c_name')} as key"))
 _SCOPES = "concat_ws(chr(31), 'PERSON', c_name)"
 query(
     "techniques", "c_custkey:L hash:L hmac:L draw:L",
@@ -224,13 +225,13 @@ query(
     """SELECT doc_id, ord, type, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ord ORDER BY n DESC, type) AS r FROM (
         SELECT t.doc_id, t.ord, s.type, count(DISTINCT s.detector) AS n FROM tokens t JOIN spans s ON t.doc_id = s.doc_id AND t."end" > s.start AND t.start < s."end" GROUP BY ALL)) JOIN (
         SELECT doc_id, ord, count(*) AS c FROM covered GROUP BY ALL) USING (doc_id, ord) JOIN (SELECT doc_id, count(DISTINCT detector) AS p FROM spans GROUP BY 1) USING (doc_id) WHERE r = 1 AND 2 * c > p""",
-)(lambda t: combine.token_vote(t.spans, t.tokens))
+)(lambda t: combine.token_vote(t.spans, t.docs))
 query(
     "bio_labels", "doc_id:L ord:L label:S",
     """SELECT doc_id, ord, CASE WHEN ord = min(ord) OVER (PARTITION BY doc_id, s0, s1, type) THEN 'B-' ELSE 'I-' END || type AS label FROM (
         SELECT t.doc_id, t.ord, s.start AS s0, s."end" AS s1, s.type, row_number() OVER (PARTITION BY t.doc_id, t.ord ORDER BY s.start, s."end" DESC, s.type) AS n
         FROM tokens t JOIN union_ s ON t.doc_id = s.doc_id AND t."end" > s.start AND t.start < s."end") WHERE n = 1""",
-)(lambda t: combine.bio(combine.combine(t.spans, t.docs, "union"), t.tokens))
+)(lambda t: combine.bio(combine.combine(t.spans, t.docs, "union"), t.docs))
 
 # --- construction -------------------------------------------------------------------------------
 query("overlap_resolution", "doc_id:L ord:L start:L end:L text:S type:S kept:B", "SELECT * FROM resolved")(lambda t: t.resolved)
@@ -264,20 +265,31 @@ query(
 
 # --- metrics ------------------------------------------------------------------------------------
 query("covered_tokens", "detector:S n:L", "SELECT detector, count(*) AS n FROM covered GROUP BY 1")(
-    lambda t: t.tokens.alias("t").join(t.spans.alias("s"), F.expr("t.doc_id = s.doc_id and t.end > s.start and t.start < s.end")).selectExpr("t.doc_id", "t.ord", "s.detector").distinct().groupBy("detector").agg(F.count(F.lit(1)).alias("n"))
+    lambda t: metrics.covered(t.docs, t.spans).select(F.explode("detectors").alias("detector")).groupBy("detector").agg(F.count(F.lit(1)).alias("n"))
 )
 query(
     "detection_score", "source:S type:S gold_tokens:L hit_tokens:L entities:L protected:L",
     """SELECT source, type, sum(n) AS gold_tokens, sum(h) AS hit_tokens, count(*) AS entities, count(*) FILTER (n = h) AS protected FROM (
         SELECT p.source, g.type, g.doc_id, g.entity, count(*) AS n, count(c.ord) AS h FROM gold_tokens g CROSS JOIN (SELECT DISTINCT source FROM predicted) p
         LEFT JOIN covered c ON c.doc_id = g.doc_id AND c.ord = g.ord AND c.detector = p.source GROUP BY ALL) GROUP BY GROUPING SETS ((source, type), (source))""",
-)(lambda t: metrics.detection_score(t.tokens, t.gold, t.predicted))
+)(lambda t: metrics.detection_score(t.docs, t.gold, t.predicted))
+_CLASS = "CASE WHEN type = 'CODE' THEN 'DIRECT' ELSE 'QUASI' END"
+query(
+    "detection_by_class", "source:S class:S gold_tokens:L hit_tokens:L entities:L protected:L",
+    f"""SELECT source, class, sum(n) AS gold_tokens, sum(h) AS hit_tokens, count(*) AS entities, count(*) FILTER (n = h) AS protected FROM (
+        SELECT p.source, {_CLASS} AS class, g.doc_id, g.entity, count(*) AS n, count(c.ord) AS h FROM gold_tokens g CROSS JOIN (SELECT DISTINCT source FROM predicted) p
+        LEFT JOIN covered c ON c.doc_id = g.doc_id AND c.ord = g.ord AND c.detector = p.source GROUP BY ALL) GROUP BY GROUPING SETS ((source, class), (source))""",
+)(lambda t: metrics.detection_score(t.docs, t.gold, t.predicted, "if(mention.type = 'CODE', 'DIRECT', 'QUASI')").withColumnRenamed("type", "class"))
+query(
+    "detection_precision", "source:S predicted:L correct:L precision:D",
+    "SELECT c.detector AS source, count(*) AS predicted, count(g.ord) AS correct, count(g.ord) / count(*) AS precision FROM covered c LEFT JOIN gold_tokens g USING (doc_id, ord) GROUP BY 1",
+)(lambda t: metrics.detection_precision(t.docs, t.gold, t.predicted))
 for _name, _policy, _cross in (("stability_cross", "deterministic", True), ("stability_within", "document", False)):
     _scope = f"type || chr(31) || {n2('text')}" + ("" if _cross else " || chr(31) || doc_id::VARCHAR")
     query(
-        _name, "type:S collision:D fragmentation:D drift:D",
-        f"""SELECT type, c AS collision, f AS fragmentation, {'d' if _cross else 'NULL'} AS drift FROM (
-            SELECT type, avg((n > 1)::INT) AS c FROM (SELECT type, doc_id, s, count(DISTINCT entity) AS n FROM (SELECT *, {index32(hmac_hex(_scope))} AS s FROM gold) GROUP BY ALL) GROUP BY 1) JOIN (
+        _name, "type:S collision:D fragmentation:D drift:D surfaces:L",
+        f"""SELECT type, c AS collision, f AS fragmentation, {'d' if _cross else 'NULL'} AS drift, u AS surfaces FROM (SELECT type, count(DISTINCT {index32(hmac_hex(_scope))}) AS u FROM gold GROUP BY 1) JOIN (
+            SELECT type, avg((n > 1)::INT) AS c FROM (SELECT type, doc_id, s, count(DISTINCT entity) AS n FROM (SELECT *, {index32(hmac_hex(_scope))} AS s FROM gold) GROUP BY ALL) GROUP BY 1) USING (type) JOIN (
             SELECT type, avg((n > 1)::INT) AS f FROM (SELECT type, doc_id, entity, count(DISTINCT s) AS n FROM (SELECT *, {index32(hmac_hex(_scope))} AS s FROM gold) GROUP BY ALL) GROUP BY 1) USING (type) LEFT JOIN (
             SELECT type, avg((n > 1)::INT) AS d FROM (SELECT type, entity, count(DISTINCT s) AS n, count(DISTINCT doc_id) AS k FROM (SELECT *, {index32(hmac_hex(_scope))} AS s FROM gold) GROUP BY ALL HAVING k > 1) GROUP BY 1) USING (type)""",
     )(lambda t, p=_policy, c=_cross: metrics.stability(construct.assign(t.gold, policy=p).selectExpr("doc_id", "type", "entity", "idx as surrogate"), c))
@@ -293,20 +305,17 @@ query(
     FULL JOIN (SELECT doc_id, sum("end" - start) AS b FROM spans WHERE detector = 'title' GROUP BY 1) USING (doc_id)
     LEFT JOIN (SELECT g.doc_id, sum(least(g."end", s."end") - greatest(g.start, s.start)) AS c FROM gold g JOIN spans s ON g.doc_id = s.doc_id AND s.detector = 'title' AND g."end" > s.start AND g.start < s."end" GROUP BY 1) USING (doc_id)""",
 )(lambda t: metrics.character_scores(t.gold, t.spans.where("detector = 'title'")))
-query("coreference_muc_b3", "doc_id:L muc_recall:D b3_recall:D muc_precision:D b3_precision:D")(
-    lambda t: metrics.muc_b3(t.gold.selectExpr("doc_id", "ord as mention", "entity as cluster"), t.gold.selectExpr("doc_id", "ord as mention", "concat(type, left(lower(text), 3)) as cluster"))
+query("coreference", "doc_id:L muc_recall:D muc_precision:D b3_recall:D b3_precision:D ceaf_recall:D ceaf_precision:D conll:D")(
+    lambda t: metrics.coreference(t.gold.selectExpr("doc_id", "ord as mention", "entity as cluster"), t.gold.selectExpr("doc_id", "ord as mention", "concat(type, left(lower(text), 3)) as cluster"))
 )
 
 # --- sweep and selection ------------------------------------------------------------------------
-_POOL = ["strict", "loose", "title", "digits", "pair"]
+_POOL = ["strict", "loose", "title", "mail", "digits", "pair"]
 
 
 def _sweep(t: Tables) -> tuple[DataFrame, DataFrame]:
     sources = select.sources(t.spark, _POOL)
-    toks = t.tokens
-    covered = toks.alias("t").join(t.spans.alias("s"), F.expr("t.doc_id = s.doc_id and t.end > s.start and t.start < s.end")).selectExpr("t.doc_id", "t.ord", "s.detector").distinct()
-    gold = metrics.gold_tokens(toks, t.gold)
-    return sources, select.sweep(gold, toks.count(), select.swept_tokens(covered, sources))
+    return sources, select.sweep(select.token_sets(metrics.marked(t.docs, t.gold, t.predicted, every=True)), sources)
 
 
 _SOURCES = " UNION ALL ".join(f"SELECT '{s}' AS source, '{r}' AS rule, [{', '.join(repr(m) for m in ms)}] AS members" for s, r, ms in select.plan(_POOL))
@@ -320,6 +329,7 @@ query("ensemble_cost", "source:S parallel:D serial:D", _COSTS)(lambda t: select.
 
 def _points(t: Tables) -> DataFrame:
     sources, scores = _sweep(t)
+    scores = t.spark.createDataFrame(scores.collect(), scores.schema)  # one row for each source of the plan, read by several branches
     return scores.join(select.ensemble_cost(sources), "source").selectExpr("source", "parallel", "round(sensitivity, 9) as sensitivity", "round(specificity, 9) as specificity")
 
 
@@ -401,11 +411,14 @@ query(
 )(lambda t: sampling.thread_split(t.table("conversations"), 0.5, 5))
 _FOLDED = r"trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 query("exact_dedup", "digest:S doc_id:L copies:L", f"SELECT sha1({_FOLDED}) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")(lambda t: dedup.exact(t.docs))
+query("exact_members", "doc_id:L digest:S representative:L", f"SELECT doc_id, digest, min(doc_id) OVER (PARTITION BY digest) AS representative FROM (SELECT doc_id, sha1({_FOLDED}) AS digest FROM documents)")(
+    lambda t: dedup.members(t.docs)
+)
 query("near_duplicates", "a:L b:L jaccard:D containment:D")(lambda t: dedup.near_pairs(t.docs.select("doc_id", "text")))
 query(
     "thread_key", "conv_id:L turn:L key:S",
-    r"SELECT conv_id, turn, lower(trim(regexp_replace('Re: FW: ' || left(text, 20), '^([ ]*(?i:re|fw|fwd|aw|wg)[ ]*(\[[0-9]+\])?[ ]*:[ ]*)+', ''))) AS key FROM conversations",
-)(lambda t: t.table("conversations").selectExpr("conv_id", "turn", f"{dedup.thread_key('concat(' + chr(39) + 'Re: FW: ' + chr(39) + ', left(text, 20))')} as key"))
+    "SELECT conv_id, turn, nullif(" + n1(r"regexp_replace('Re: FW[2] : ANTW:  ' || text, '^([ \t\n\x0B\f\r]*(?i:re|fwd|fw|aw|wg|antw)[ \t\n\x0B\f\r]*(\[[0-9]+\])?[ \t\n\x0B\f\r]*:[ \t\n\x0B\f\r]*)+', '')") + ", '') AS key FROM conversations",
+)(lambda t: t.table("conversations").selectExpr("conv_id", "turn", f"{dedup.thread_key('concat(' + chr(39) + 'Re: FW[2] : ANTW:  ' + chr(39) + ', text)')} as key"))
 query(
     "derive_sections", "doc_id:L start:L end:L label:S",
     """SELECT * FROM (SELECT doc_id, start, word AS label, lead(start, 1, n_chars) OVER (PARTITION BY doc_id ORDER BY start, word) AS "end" FROM (SELECT w.doc_id, w.start, w.word, d.n_chars FROM words w JOIN documents d USING (doc_id) WHERE w.ord % 50 = 0)) WHERE "end" > start""",
@@ -434,27 +447,32 @@ query(
 _W = r"[A-ZÀ-Þ][a-zß-ÿ\x27’\-]+"
 _OBS = rf"SELECT surface, count(*) AS n FROM (SELECT unnest(regexp_extract_all(released, '({_W}([ \t\n\x0B\f\r]+{_W}){{0,2}})', 1)) AS surface FROM release_b) GROUP BY 1"
 query("a2_observe", "surface:S n:L", _OBS)(lambda t: attacks.observe(construct.splice(t.docs, t.edits("B"))))
-_PRIOR = "SELECT name, n / sum(n) OVER () AS weight FROM (SELECT entity AS name, count(*) AS n FROM gold WHERE type = 'PERSON' GROUP BY 1 ORDER BY n DESC, name LIMIT 500)"
+_PRIOR = "SELECT name, n / sum(n) OVER () AS weight FROM (SELECT entity AS name, count(*) AS n FROM gold WHERE type = 'PERSON' GROUP BY 1{})"
 
 
 def _prior(t: Tables) -> DataFrame:
-    return attacks.prior(t.gold.where("type = 'PERSON'").groupBy(F.col("entity").alias("name")).agg(F.count(F.lit(1)).alias("n")), 500)
+    return attacks.prior(t.gold.where("type = 'PERSON'").groupBy(F.col("entity").alias("name")).agg(F.count(F.lit(1)).alias("n")))
 
 
-query("a2_prior", "name:S weight:D", _PRIOR)(_prior)
+query("a2_prior", "name:S weight:D", _PRIOR.format(""))(_prior)
+query("a2_prior_top500", "name:S weight:D", _PRIOR.format(" ORDER BY n DESC, name LIMIT 500"))(lambda t: attacks.degrade(_prior(t), 500))
 query("a2_alignment", "surface:S n:L guess:S abstains:B")(lambda t: attacks.align(attacks.observe(construct.splice(t.docs, t.edits("B"))), _prior(t), 1.5))
-query("profile_neighbours", "entity:S degree:L w:L", "SELECT entity, count(*) AS degree, sum(w) AS w FROM (SELECT a.entity, b.entity AS o, sum(a.m) AS w FROM (SELECT doc_id, entity, count(*) AS m FROM gold WHERE type = 'CODE' GROUP BY 1, 2) a JOIN (SELECT DISTINCT doc_id, entity FROM gold WHERE type = 'CODE') b ON a.doc_id = b.doc_id AND a.entity <> b.entity GROUP BY 1, 2) GROUP BY 1")(
-    lambda t: attacks.neighbours(t.gold.where("type = 'CODE'")).groupBy("entity").agg(F.count(F.lit(1)).alias("degree"), F.sum("w").alias("w"))
+query("profile_neighbours", "entity:S degree:L w:L", "SELECT entity, count(*) AS degree, sum(w) AS w FROM (SELECT a.entity, b.entity AS o, sum(a.m) AS w FROM (SELECT doc_id, entity, count(*) AS m FROM gold WHERE type = 'PERSON' GROUP BY 1, 2) a JOIN (SELECT DISTINCT doc_id, entity FROM gold WHERE type = 'PERSON') b ON a.doc_id = b.doc_id AND a.entity <> b.entity GROUP BY 1, 2) GROUP BY 1")(
+    lambda t: attacks.neighbours(t.gold.where("type = 'PERSON'")).groupBy("entity").agg(F.count(F.lit(1)).alias("degree"), F.sum("w").alias("w"))
 )
 _CONTEXT = r"""SELECT entity, lower(t) AS term, count(*) AS n FROM (SELECT g.entity, unnest(regexp_extract_all(substring(d.text, greatest(g.start - 120, 0) + 1, least(g.start, 120)) || ' ' || substring(d.text, g."end" + 1, 120), '([A-Za-z][A-Za-z\x27\-]{2,})', 1)) AS t
-    FROM gold g JOIN documents d USING (doc_id) WHERE g.type = 'CODE') WHERE lower(t) NOT IN (SELECT term FROM stop) GROUP BY 1, 2"""
-query("profile_context", "entity:S term:S n:L", _CONTEXT)(lambda t: attacks.context(t.docs, t.gold.where("type = 'CODE'")))
+    FROM gold g JOIN documents d USING (doc_id) WHERE g.type = 'PERSON') WHERE lower(t) NOT IN (SELECT term FROM stop) GROUP BY 1, 2"""
+query("profile_context", "entity:S term:S n:L", _CONTEXT)(lambda t: attacks.context(t.docs, t.gold.where("type = 'PERSON'")))
+
+
+VOCABULARY = 20_000
 
 
 def _features(t: Tables) -> DataFrame:
     halves = sampling.folds(t.docs.select("doc_id"), 2, 5).selectExpr("doc_id", "if(fold = 0, 'gallery', 'query') as side")
-    mentions = t.gold.where("type = 'PERSON' and length(text) <= 5").join(halves, "doc_id")
-    return attacks.featurise(attacks.context(t.docs, mentions, 40, ("side", "entity")), 200)
+    mentions = t.gold.where("type = 'PERSON'").join(halves, "doc_id")
+    seen = attacks.profiles(t.docs, mentions)
+    return attacks.featurise(seen, attacks.vocabulary(seen, VOCABULARY), VOCABULARY)
 
 
 query("a3_linkage", "queries:L rank1:D rank5:D mrr:D")(lambda t: attacks.rank_summary(attacks.rank(_features(t))))
@@ -502,8 +520,7 @@ query(
     "detector_agreement", "a:S b:S n:L",
     'SELECT a.detector AS a, b.detector AS b, count(*) AS n FROM covered a JOIN covered b ON a.doc_id = b.doc_id AND a.ord = b.ord AND a.detector <= b.detector GROUP BY 1, 2',
 )(
-    lambda t: t.tokens.alias("t").join(t.spans.alias("s"), F.expr("t.doc_id = s.doc_id and t.end > s.start and t.start < s.end")).groupBy("t.doc_id", "t.ord").agg(F.array_sort(F.collect_set("s.detector")).alias("d"))
-    .groupBy("d").agg(F.count(F.lit(1)).alias("k")).selectExpr("d", "k", "explode(d) as a").selectExpr("a", "k", "explode(filter(d, x -> x >= a)) as b").groupBy("a", "b").agg(F.sum("k").alias("n"))
+    lambda t: metrics.covered(t.docs, t.spans).withColumnRenamed("detectors", "d").groupBy("d").agg(F.count(F.lit(1)).alias("k")).selectExpr("d", "k", "explode(d) as a").selectExpr("a", "k", "explode(filter(d, x -> x >= a)) as b").groupBy("a", "b").agg(F.sum("k").alias("n"))
 )
 query(
     "multilabel_f1", "condition:S tp:L n_ref:L n_got:L f1:D",
@@ -514,5 +531,7 @@ query(
     "SELECT decile, count(*) AS documents, min(n_chars) AS least, max(n_chars) AS most FROM (SELECT n_chars, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) * 10 // count(*) OVER () + 1 AS decile FROM documents) GROUP BY 1",
 )(
     lambda t: t.docs.groupBy("n_chars").agg(F.count(F.lit(1)).alias("k")).selectExpr("n_chars", "k", "sum(k) over (order by n_chars) - k as before", "sum(k) over () as m")
-    .selectExpr("n_chars", "m", "explode(sequence(before, before + k - 1)) as r").groupBy(F.expr("r * 10 div m + 1").alias("decile")).agg(F.count(F.lit(1)).alias("documents"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+    # a value's ranks fall into one decile, or into a run of them: counts stay counts
+    .selectExpr("n_chars", "m", "before", "before + k as upto", "explode(sequence(before * 10 div m + 1, (before + k - 1) * 10 div m + 1)) as decile")
+    .selectExpr("decile", "n_chars", "least(upto, (decile * m + 9) div 10) - greatest(before, ((decile - 1) * m + 9) div 10) as n").groupBy("decile").agg(F.sum("n").alias("documents"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
 )

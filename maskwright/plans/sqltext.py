@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from ..functions.keys import CODA, HONORIFICS, NUCLEUS, ONSET, POOL
+from ..functions.keys import _HEAD as HEAD
+from ..functions.keys import CODA, DMY, HONORIFICS, NUCLEUS, ONSET, POOL, TIME, YEARS, YMD
 from ..operators.attacks import STOP
 from ..operators.construct import KEY
 from ..operators.detect import DETECTORS, GOLD, LABELS
@@ -18,10 +19,15 @@ def _parts(pattern: str) -> str:
         SELECT doc_id, unnest(p) AS tok, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}', 1) AS p FROM documents))"""
 
 
+def n1(c: str) -> str:
+    return f"replace(lower(trim(regexp_replace({c}, '{_SPACE}+', ' ', 'g'))), 'ß', 'ss')"
+
+
 def n2(c: str) -> str:
-    one = f"lower(trim(regexp_replace({c}, '{_SPACE}+', ' ', 'g')))"
-    bare = rf"regexp_replace({one}, '[.,;:!?\x27\x22()\[\]{{}}<>«»„“”‘’]', '', 'g')"
-    return f"trim(regexp_replace(regexp_replace({bare}, '^({'|'.join(HONORIFICS)})( +|$)', ''), ' +', ' ', 'g'))"
+    bare = rf"regexp_replace({n1(c)}, '[.,;:!?\x27\x22()\[\]{{}}<>«»„“”‘’]', '', 'g')"
+    honorific = "|".join(HONORIFICS)
+    plain = rf"CASE WHEN regexp_matches({bare}, '^({honorific})($|[^\p{{L}}\p{{N}}_])') THEN regexp_replace({bare}, '^({honorific}) *', '') ELSE {bare} END"
+    return f"trim(regexp_replace({plain}, ' +', ' ', 'g'))"
 
 
 def index32(hexdigest: str) -> str:
@@ -49,10 +55,32 @@ def synthetic(index: str, type_: str) -> str:
 
 def format_preserving(source: str, index: str) -> str:
     byte = f"('0x' || substring(sha256(({index})::VARCHAR || ':' || ((i - 1) // 32)::VARCHAR), 2 * ((i - 1) % 32) + 1, 2))::INT"
-    c = f"substring({source}, i, 1)"
-    return f"""array_to_string(list_transform(range(1, length({source}) + 1), lambda i: CASE
+    c = "substring(s.rest, i, 1)"
+    letters = f"""array_to_string(list_transform(range(1, length(s.rest) + 1), lambda i: CASE
         WHEN {c} BETWEEN '0' AND '9' THEN ({byte} % 10)::VARCHAR WHEN {c} BETWEEN 'a' AND 'z' THEN chr(97 + {byte} % 26)
         WHEN {c} BETWEEN 'A' AND 'Z' THEN chr(65 + {byte} % 26) ELSE {c} END), '')"""
+    b = [f"('0x' || substring(s.first_, {2 * k + 1}, 2))::INT" for k in range(4)]
+    wide = f"({YEARS[0]} + ({b[0]} * 256 + {b[1]}) % {YEARS[1] - YEARS[0] + 1})"
+    group = lambda p, n: f"regexp_extract(s.rest, '{p}', {n})"
+    shaped = lambda p: f"regexp_matches(s.rest, '{p}') AND {group(p, 2)} = {group(p, 4)}"
+
+    def parts(p: str, at: tuple[int, int, int]) -> tuple[str, str, str, str]:
+        day, month, year = (group(p, n) for n in at)
+        m = f"({b[2]} % (CASE WHEN length({month}) = 1 THEN 9 ELSE 12 END) + 1)"
+        top = f"day(last_day(make_date(CASE WHEN length({year}) = 4 THEN {wide} ELSE 2000 + {b[0]} % 100 END, {m}, 1)))"
+        d = f"({b[3]} % least({top}, CASE WHEN length({day}) = 1 THEN 9 ELSE 31 END) + 1)"
+        y = f"(CASE WHEN length({year}) = 4 THEN {wide} ELSE {b[0]} % 100 END)"
+        pad = lambda x, w: f"lpad(({x})::VARCHAR, length({w})::INT, '0')"
+        return pad(d, day), pad(m, month), pad(y, year), group(p, 2)
+
+    d, m, y, sep = parts(DMY, (1, 3, 5))
+    d2, m2, y2, sep2 = parts(YMD, (5, 3, 1))
+    hour = group(TIME, 1)
+    clock = f"lpad(({b[0]} % (CASE WHEN length({hour}) = 1 THEN 10 ELSE 24 END))::VARCHAR, length({hour})::INT, '0') || ':' || lpad(({b[1]} % 60)::VARCHAR, 2, '0') || CASE WHEN {group(TIME, 4)} = '' THEN '' ELSE ':' || lpad(({b[2]} % 60)::VARCHAR, 2, '0') END"
+    head = f"regexp_extract({source}, '{HEAD}', 1)"
+    return f"""list_transform([{{'head': {head}, 'rest': substring({source}, length({head}) + 1), 'first_': sha256(({index})::VARCHAR || ':0')}}], lambda s: s.head || CASE
+        WHEN {shaped(DMY)} THEN {d} || {sep} || {m} || {sep} || {y} WHEN {shaped(YMD)} THEN {y2} || {sep2} || {m2} || {sep2} || {d2}
+        WHEN regexp_matches(s.rest, '{TIME}') THEN {clock} ELSE {letters} END)[1]"""
 
 
 def _detectors() -> str:

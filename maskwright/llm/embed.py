@@ -2,22 +2,24 @@
 
 Equal vectors of one label are first collapsed to one node with a count.
 Cosine at least ``cosine`` of unit vectors is a distance of at most
-``eps = sqrt(2 - 2 * cosine)``.  Unit vectors are rotated to principal axes
-(fitted on at most ``SAMPLE`` vectors; any rotation keeps distances, so the fit
-affects speed only) and sorted by the cells of a grid of side ``eps`` on the
-leading ``GRID`` axes, within each label.  The sequence is cut into blocks of
-``BLOCK`` vectors.
+``eps = sqrt(2 - 2 * cosine)``.  Unit vectors are rotated to principal axes of
+their label (fitted on a sample of at most ``SAMPLE`` vectors; labels with few of
+them share axes; any rotation keeps distances, so the fit affects speed only)
+and sorted by the cells of a grid of side ``eps`` on the leading ``GRID`` axes,
+within each label.  The sequence is cut into blocks of ``BLOCK`` vectors.
 
 The join recurses over sequence intervals: starting from each label's whole
 sequence against itself, every pair of intervals is replaced by the pairs of
 their ``FAN`` parts, less those whose bounding boxes on the leading ``BOXED``
-axes are more than ``eps`` apart.  Every level is a DataFrame join on intervals.
-Surviving block pairs are compared exactly in double precision.  A block pair
-returns link counts, and one edge per linked vector to the least vector of its
-group within the pair, never the pairs themselves.
+axes are more than ``eps`` apart.  Down to blocks every level is a DataFrame join
+on intervals; within a pair of blocks numpy goes on by halves down to ``LEAF``
+vectors, where boxes also bound the norm on all other axes.  What is left is
+compared exactly in double precision.  A block pair returns link counts, and one
+edge per linked vector to the least vector of its group within the pair, never
+the pairs themselves.
 
-In high dimensions boxes on few axes prune little when vectors spread evenly;
-results don't depend on it.
+Where vectors spread evenly over many axes no box bounds their distance and few
+pairs of intervals are skipped; results don't depend on it.
 
 Cases: a null label or a vector that is null, empty, zero, or holds null or
 non-finite numbers links with nothing; vectors of different length don't link;
@@ -40,7 +42,9 @@ from ._shared import Scratch
 
 COSINE = 0.93
 SAMPLE = 8192
-GRID, BOXED, BLOCK, FAN = 6, 12, 512, 4
+GRID, BOXED, BLOCK, LEAF, FAN = 6, 12, 1024, 32, 4
+#: Sampled vectors for each axis that a label needs to have axes of its own, and block pairs in an Arrow batch.
+OWN_AXES, PAIRS_AT_ONCE = 4, 4
 #: Slack for rounding when boxes are compared; the final comparison has none.
 SLACK = 1e-6
 
@@ -56,18 +60,41 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
 
-def _project(axes: dict[int, np.ndarray], eps: float):
-    """Adds grid cells and leading coordinates; vectors of a length not sampled use their own axes."""
+Axes = dict[tuple[object, int], np.ndarray]
+
+
+def rotated(u: np.ndarray, axes: Axes, label: object) -> np.ndarray:
+    """Coordinates on the label's axes, on those of the length, or as they are where the length was not sampled."""
+    turn = axes.get((label, u.shape[1]), axes.get((None, u.shape[1])))
+    return u if turn is None else u @ turn
+
+
+def fit_axes(rows: list[tuple[object, int, list[float]]]) -> Axes:
+    """Principal axes, largest first, of every length and of the labels with many of ``(label, length, vector)``."""
+    held: dict[tuple[object, int], list] = {}
+    for label, d, vector in rows:
+        held.setdefault((None, d), []).append(vector)
+        held.setdefault((label, d), []).append(vector)
+    out: Axes = {}
+    for (label, d), some in held.items():
+        if label is None or len(some) >= OWN_AXES * d:
+            x = unit(np.array(some, np.float64))
+            out[label, d] = np.linalg.eigh(np.cov(x, rowvar=False).reshape(d, d) if len(x) > 1 else np.eye(d))[1][:, ::-1]
+    return out
+
+
+def _project(axes: Axes, eps: float):
+    """Adds grid cells and leading coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column("dim").to_numpy(zero_copy_only=False)
+            kinds: dict[tuple[object, int], list[int]] = {}
+            for i, kind in enumerate(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True)):
+                kinds.setdefault(kind, []).append(i)
             boxed = np.zeros((batch.num_rows, BOXED))
-            for d in np.unique(dims):
-                pick = np.flatnonzero(dims == d)
-                u = unit(_matrix(batch.column("embedding").take(pa.array(pick))))
+            for (label, d), pick in kinds.items():
                 lead = min(BOXED, d)
-                boxed[pick, :lead] = u @ axes[int(d)][:, :lead] if int(d) in axes else u[:, :lead]
+                boxed[pick, :lead] = rotated(unit(_matrix(batch.column("embedding").take(pa.array(pick)))), axes, label)[:, :lead]
             cells = np.floor(boxed[:, :GRID] / eps).astype(np.int16)
             names = [*batch.schema.names, *(f"c{i}" for i in range(GRID)), *(f"z{i}" for i in range(BOXED))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(cells[:, i]) for i in range(GRID)), *(pa.array(boxed[:, i]) for i in range(BOXED))], names)
@@ -93,37 +120,83 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(nodes), pa.array(blocks)], [*keep, "node", "block"])
 
 
-def _compare(cosine: float):
+def _boxes(z: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest coordinates, and norm on the other axes, of every ``size`` rows in turn."""
+    lead = np.column_stack([z[:, :BOXED], np.linalg.norm(z[:, BOXED:], axis=1)])
+    at = np.arange(0, len(z), size)
+    return np.minimum.reduceat(lead, at), np.maximum.reduceat(lead, at)
+
+
+def near_leaves(z: np.ndarray, y: np.ndarray, eps: float, same: bool) -> np.ndarray:
+    """Pairs of leaves (rows ``i * LEAF`` and on) of two blocks of rotated vectors that may hold links: recursion by halves."""
+    size = LEAF
+    while size < max(len(z), len(y)):
+        size *= 2
+    pairs = np.zeros((1, 2), np.int64)
+    while True:
+        (a0, a1), (b0, b1) = _boxes(z, size), _boxes(y, size)
+        i, j = pairs.T
+        gap = np.maximum(np.maximum(a0[i] - b1[j], b0[j] - a1[i]), 0.0)
+        pairs = pairs[(gap * gap).sum(axis=1) <= (eps + SLACK) ** 2]
+        if size == LEAF:
+            return pairs
+        size //= 2
+        pairs = (pairs[:, None, :] * 2 + np.array([[0, 0], [0, 1], [1, 0], [1, 1]])).reshape(-1, 2)
+        pairs = pairs[(pairs[:, 0] * size < len(z)) & (pairs[:, 1] * size < len(y))]
+        if same:
+            pairs = pairs[pairs[:, 0] <= pairs[:, 1]]
+
+
+def linked(x: np.ndarray, y: np.ndarray, z: np.ndarray, w: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x`` and ``y`` (rotated: ``z``, ``w``) whose cosine is at least ``cosine``; of a block against itself each pair twice, no row with itself."""
+    leaves = near_leaves(z, w, float(np.sqrt(max(0.0, 2 - 2 * cosine))), same)
+    across, down = -(-len(y) // LEAF), -(-len(x) // LEAF)
+    if 2 * len(leaves) > down * across * (0.5 if same else 1.0):
+        rows, cols = np.nonzero(x @ y.T >= cosine)
+    else:
+        found = []
+        for i in np.unique(leaves[:, 0]):
+            some = leaves[leaves[:, 0] == i, 1]
+            at = (some[:, None] * LEAF + np.arange(LEAF)).ravel()
+            at = at[at < len(y)]
+            r, c = np.nonzero(x[i * LEAF : (i + 1) * LEAF] @ y[at].T >= cosine)
+            found.append((r + i * LEAF, at[c]))
+        rows, cols = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        if same:  # leaves below the diagonal are mirrored
+            off = rows // LEAF != cols // LEAF
+            rows, cols = np.concatenate([rows, cols[off]]), np.concatenate([cols, rows[off]])
+    keep = rows != cols if same else slice(None)
+    return rows[keep], cols[keep]
+
+
+def _compare(cosine: float, axes: Axes):
     def side(batch: pa.RecordBatch, name: str, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows = batch.column(name).slice(i, 1).flatten()
         return rows.field("node").to_numpy(zero_copy_only=False), rows.field("times").to_numpy(zero_copy_only=False), unit(_matrix(rows.field("embedding")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = batch.column("same").to_pylist()
+            same, labels = batch.column("same").to_pylist(), batch.column("label").to_pylist()
             for i in range(batch.num_rows):
                 a, m, x = side(batch, "left", i)
                 b, n, y = (a, m, x) if same[i] else side(batch, "right", i)
-                near = x @ y.T >= cosine
-                if same[i]:
-                    np.fill_diagonal(near, False)
-                rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                rows, cols = linked(x, y, rotated(x, axes, labels[i]), rotated(y, axes, labels[i]), cosine, same[i])
                 if not len(rows):
                     continue
-                some = near[np.ix_(rows, cols)]
-                degree_a, degree_b = some @ n[cols], m[rows] @ some
-                lab_a, lab_b = a[rows].copy(), b[cols].copy()
-                top = np.iinfo(np.int64).max
+                degree_a, degree_b = np.bincount(rows, n[cols], len(a)), np.bincount(cols, m[rows], len(b))
+                lab_a, lab_b = a.copy(), b.copy()
                 while True:
-                    new_a = np.minimum(lab_a, np.where(some, lab_b[None, :], top).min(axis=1))
-                    new_b = np.minimum(lab_b, np.where(some, new_a[:, None], top).min(axis=0))
+                    new_a, new_b = lab_a.copy(), lab_b.copy()
+                    np.minimum.at(new_a, rows, lab_b[cols])
+                    np.minimum.at(new_b, cols, new_a[rows])
                     if (new_a == lab_a).all() and (new_b == lab_b).all():
                         break
                     lab_a, lab_b = new_a, new_b
+                some_a, some_b = np.unique(rows), np.unique(cols)
                 if same[i]:  # rows and columns are the same vectors
-                    node, degree, root = a[rows], degree_a, np.minimum(lab_a, lab_b)
+                    node, degree, root = a[some_a], degree_a[some_a], np.minimum(lab_a, lab_b)[some_a]
                 else:
-                    node, degree, root = np.concatenate([a[rows], b[cols]]), np.concatenate([degree_a, degree_b]), np.concatenate([lab_a, lab_b])
+                    node, degree, root = np.concatenate([a[some_a], b[some_b]]), np.concatenate([degree_a[some_a], degree_b[some_b]]), np.concatenate([lab_a[some_a], lab_b[some_b]])
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(degree.astype(np.int64)), pa.array(root)], ["node", "degree", "root"])
 
     return run
@@ -158,11 +231,8 @@ def embedding_dedup(
     valid = rows.where("usable").withColumn("dim", F.size("embedding"))
     distinct = scratch.keep(valid.groupBy("label", "dim", "embedding").agg(F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("least")), "vectors")
 
-    axes: dict[int, np.ndarray] = {}
-    some = distinct.select("dim", "embedding").orderBy(F.xxhash64("embedding")).limit(SAMPLE).collect()
-    for d in {r["dim"] for r in some}:
-        x = unit(np.array([r["embedding"] for r in some if r["dim"] == d], np.float64))
-        axes[d] = np.linalg.eigh(np.cov(x, rowvar=False).reshape(d, d) if len(x) > 1 else np.eye(d))[1][:, ::-1]
+    some = distinct.select("label", "dim", "embedding").orderBy(F.xxhash64("embedding"), "label").limit(SAMPLE).collect()
+    axes = fit_axes([tuple(r) for r in some])
 
     own = f"label {kinds['label']}, dim int, embedding {kinds['embedding']}, times long, least {kinds['vec_id']}"
     grid, leading = ", ".join(f"c{i} short" for i in range(GRID)), ", ".join(f"z{i} double" for i in range(BOXED))
@@ -182,7 +252,14 @@ def embedding_dedup(
     content = content.join(meta.select("block", "label", "dim", "rank"), "block").drop("block")
     left, right = content.withColumnsRenamed({"rank": "a", "rows": "left"}), content.withColumnsRenamed({"rank": "b", "rows": "right"})
     met = pairs.join(left, ["label", "dim", "a"]).join(right, ["label", "dim", "b"])
-    found = scratch.keep(met.selectExpr("left", "if(a = b, slice(right, 1, 0), right) as right", "a = b as same").mapInArrow(_compare(cosine), "node long, degree long, root long"), "links")
+    met = met.selectExpr("label", "left", "if(a = b, slice(right, 1, 0), right) as right", "a = b as same")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(PAIRS_AT_ONCE))  # rows are whole blocks
+    try:
+        found = scratch.keep(met.mapInArrow(_compare(cosine, axes), "node long, degree long, root long"), "links")
+    finally:
+        spark.conf.set(setting, before)
 
     parts = connected_components(spark, found.selectExpr("node as a", "root as b"))
     degrees = found.groupBy("node").agg(F.sum("degree").alias("degree"))

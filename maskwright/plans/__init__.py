@@ -1 +1,6 @@
-"""Queries with their SQL equivalents."""
+"""Registered queries."""
+
+from . import more
+from .queries import QUERIES
+
+__all__ = ["QUERIES", "more"]

@@ -92,7 +92,7 @@ def _detectors() -> str:
     return " UNION ALL ".join(out)
 
 
-_LABEL = r"upper(trim(regexp_replace(regexp_replace(trim(type_src), '^[BIESUL][-_](.)', '\1'), '[ \t\-]+', '_', 'g'), '_'))"
+LABEL = r"upper(trim(regexp_replace(regexp_replace(trim(type_src), '^[BIESUL][-_](.)', '\1'), '[ \t\-]+', '_', 'g'), '_'))"
 _TABLE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items())
 _OVERLAP = 't.doc_id = s.doc_id AND t."end" > s.start AND t.start < s."end"'
 
@@ -103,7 +103,7 @@ CTES: dict[str, str] = {
         SELECT doc_id, i, upto - n + length(regexp_extract(tok, '^[^\p{{L}}\p{{N}}]*')) AS start, regexp_replace(tok, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS word
         FROM ({_parts(r'([^ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+)')}) WHERE regexp_matches(tok, '[\p{{L}}\p{{N}}]'))""",
     "raw": _detectors(),
-    "labelled": f"SELECT *, {_LABEL} AS label_ FROM raw",
+    "labelled": f"SELECT *, {LABEL} AS label_ FROM raw",
     "harmonised": f"""SELECT * EXCLUDE (label_, t_), coalesce(t_, 'MISC') AS type, t_ IS NOT NULL AS was_mapped FROM (SELECT *, CASE label_ {_TABLE} ELSE
         CASE WHEN label_ IN ('PERSON','LOC','ORG','DATETIME','CODE','DEMOGRAPHIC','QUANTITY','MISC') THEN label_ END END AS t_ FROM labelled)""",
     "spans": r"SELECT * FROM harmonised WHERE type <> 'CODE' OR (length(trim(text)) >= 5 AND regexp_matches(text, '[\p{L}\p{N}]'))",

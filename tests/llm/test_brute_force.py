@@ -354,8 +354,30 @@ def test_mix(spark, docs):
     assert {k: v for k, v in took.items() if v} == {k: v for k, v in want.items() if v}
 
 
-def test_embeddings(spark, monkeypatch):
-    monkeypatch.setattr(embed, "BLOCK", 8)
+def test_recursion_skips_clusters():
+    """Leaves of far clusters are skipped, and no link is lost; of evenly spread vectors next to nothing is."""
+    rng = np.random.default_rng(12)
+    centres = embed.unit(rng.normal(size=(12, 64)))
+    for spread, least in ((0.02, 0.75), (None, 0.0)):
+        v = embed.unit(np.concatenate([centres[rng.integers(0, 12, 1500)] + rng.normal(0, spread, (1500, 64)) if spread else rng.normal(size=(1500, 64))]))
+        axes = embed.fit_axes([(1, 64, x) for x in v.tolist()])
+        z = embed.rotated(v, axes, 1)
+        order = np.lexsort(np.floor(z[:, : embed.GRID] / 0.374).T[::-1])
+        v, z = v[order], z[order]
+        n = -(-len(v) // embed.LEAF)
+        leaves = embed.near_leaves(z, z, math.sqrt(0.14), True)
+        assert 1 - len(leaves) / (n * (n + 1) / 2) >= least
+        rows, cols = embed.linked(v, v, z, z, 0.93, True)
+        near = v @ v.T >= 0.93
+        np.fill_diagonal(near, False)
+        assert sorted(zip(rows.tolist(), cols.tolist(), strict=True)) == list(map(tuple, np.argwhere(near).tolist()))
+        rows, cols = embed.linked(v[:700], v[700:], z[:700], z[700:], 0.93, False)
+        assert sorted(zip(rows.tolist(), cols.tolist(), strict=True)) == list(map(tuple, np.argwhere(v[:700] @ v[700:].T >= 0.93).tolist()))
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_embeddings(spark, monkeypatch, block):
+    monkeypatch.setattr(embed, "BLOCK", block)
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(6, 16))
     rows = [(i, (centres[i % 6] + rng.normal(0, 0.12, 16)).tolist(), i % 2) for i in range(80)]

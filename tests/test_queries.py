@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from maskwright.plans.queries import QUERIES
+from maskwright.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -106,7 +106,7 @@ def test_patch_round_trip(spark, tmp_path):
     moved = {r.ord: (r.start, r.end) for r in patches.remap(gold.select("doc_id", "ord", "start", "end"), patches.opened(c)).collect()}
     assert moved == {0: (0, 4), 1: (5, 8), 2: (36, 41), 3: (19, 29)}  # eight letters stay in place, ten replace four
     assert patches.check_current(docs, back).count() == back.count()
-    with pytest.raises(Exception, match="2 stale patches, first of document 1"):
+    with pytest.raises(Exception, match="3 stale patches, first of document 1"):
         patches.check_current(docs.selectExpr("doc_id", "concat(text, if(doc_id = 1, '!', '')) as text"), back.where("condition <> 'A'").union(back.where("condition = 'A' and doc_id = 1"))).collect()
     with pytest.raises(ValueError):
         patches.condition("D")

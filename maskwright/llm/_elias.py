@@ -139,10 +139,14 @@ def size_of(arrays: Mapping[str, np.ndarray]) -> int:
     return sum(v.nbytes for v in arrays.values())
 
 
+def mounted(path: str) -> bool:
+    return urlparse(path).scheme in ("", "file")
+
+
 def load(path: str) -> dict[str, np.ndarray]:
     """The arrays, memory-mapped where the folder is mounted, read otherwise."""
     where = urlparse(path)
-    if where.scheme in ("", "file"):
+    if mounted(path):
         with open(unquote(where.path), "rb") as f:
             raw = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)) if os.fstat(f.fileno()).st_size else memoryview(b"")
     else:

@@ -24,8 +24,9 @@ bits and a word 28, so a search for an n-gram that was never seen finds another
 one with a chance of about 1e-4 (at most 0.4 % after the hottest contexts).
 
 Levels are files in the shared folder.  A worker maps a shard when it looks
-something up, forgets the oldest beyond ``MAPPED`` bytes, and looks up some
-million n-grams of many texts at a time.
+something up (reads it where the folder is not mounted), forgets the oldest
+beyond ``MAPPED`` (``READ``) bytes, and looks up the n-grams of some million
+bytes of text at a time, in order of their keys.
 
 Cases: null text is empty and scores its end; a null id is neither held out nor
 learned from; repeated rows count and are scored each; an empty table gives an
@@ -47,7 +48,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._elias import EliasFano, load, save, size_of
+from ._elias import EliasFano, load, mounted, save, size_of
 from ._shared import Scratch, new_path
 from ._words import mix, slices, split_words, word_hashes
 
@@ -55,8 +56,8 @@ HELD, FOLDS = 0, 10
 ORDER, DISCOUNT, ADD = 3, 0.5, 0.1
 #: Bytes of text for a shard of level one, tokens for a shard of a higher level, n-grams a task counts before it sends them, tokens after a context that is dealt.
 SHARD_BYTES, SHARD, FLUSH, HOT = 1 << 26, 1 << 21, 1 << 20, 1 << 20
-#: Text that is scored at once, tokens looked up at once, and bytes of shards a worker keeps mapped.
-SCORED_BYTES, PIECE, MAPPED = 4 << 20, 1 << 16, 512 << 20
+#: Text that is scored at once, tokens looked up at once, and bytes of shards a worker keeps: mapped (pages the system may drop), or read where the folder is not mounted.
+SCORED_BYTES, PIECE, MAPPED, READ = 4 << 20, 1 << 16, 16 << 30, 256 << 20
 #: Bits of a context and of a word in a key.
 CONTEXT, WORD = 36, 28
 #: Reserved hashes of the end, and of the start as a context.
@@ -336,7 +337,7 @@ class Trie:
         else:
             arrays = load(path)
             self._open[path] = ({n: EliasFano.load(arrays, n) for n in names} | {k: v for k, v in arrays.items() if k in ("p", "b")}, size_of(arrays))
-            while len(self._open) > 1 and sum(n for _, n in self._open.values()) > MAPPED:
+            while len(self._open) > 1 and sum(n for _, n in self._open.values()) > (MAPPED if mounted(path) else READ):
                 del self._open[next(iter(self._open))]
         return self._open[path][0]
 
@@ -433,7 +434,6 @@ def build_trie(spark: SparkSession, train: DataFrame, order: int = ORDER) -> Tri
         sent = texts.mapInArrow(_count(n, bits, hot, words if 1 < n < order else None), _SENT)
         built = sent.repartitionById((1 << bits) + SIDE, "shard").mapInArrow(_build(folder, n, bits, hot), _BUILT)
         built = scratch.keep(built, f"level-{n}")
-        scratch.tidy()  # the level's shuffle files are as large as the level
         rows = built.collect()  # one for each shard and side task
         scratch.drop(built)
         found = [(r["contexts"], r["counts"]) for r in rows if (r["shard"] < 0) == (n > 1)]

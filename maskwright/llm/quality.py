@@ -1,17 +1,19 @@
 """Quality rules and a hashed n-gram likelihood ratio, in DataFrame functions only.
 
 Rules count words, symbols, repeated lines and words of repeated three-word
-windows.  The verdict compares two multinomials over hashed word unigrams and
-bigrams: one of trusted documents, one of the whole corpus.  A document's score
-is the mean log ratio of its n-grams; it passes at or above the threshold that
-best parts good from toxic or bad among labelled documents held out of the fit
-(greatest share of bad ones rejected less share of good ones lost; the lowest of
-equal ones).  Log ratios are fixed-point integers, so sums don't depend on the
-order of rows.
+windows.  The verdict compares two multinomials over hashed words, and two over
+hashed word pairs: one of trusted documents, one of the whole corpus.  A
+document's score is the mean log ratio of its words plus ``PAIRS`` times that of
+its pairs.  Ratios are drawn towards zero by a prior of ``PRIOR`` trusted counts
+a bucket, so rare words, which say least, weigh least.  A document passes at or
+above the threshold that best parts good from toxic or bad among labelled
+documents held out of the fit (greatest share of bad ones rejected less ``COST``
+times the share of good ones lost; the lowest of equal ones).  Log ratios are
+fixed-point integers, so sums don't depend on the order of rows.
 
 The corpus model counts every document.  The trusted model is fitted on at most
 ``TRUSTED`` labelled documents (least hashed ids first); their ids, and the
-table of ``2**BITS`` log ratios, are the only things broadcast.  The threshold
+table of ``2**(BITS + 1)`` log ratios, are the only things broadcast.  The threshold
 counts every held-out labelled document; without good or without bad ones, all
 but ``SHARE`` of the held-out good, else of the trusted documents reach it.
 
@@ -31,6 +33,8 @@ from ._shared import Scratch
 TRUSTED = 20_000
 BITS = 16
 SCALE = 1_000_000
+#: Trusted counts added to every bucket of words and of pairs, weight of the pairs' mean, and of good documents lost.
+PRIOR, PAIRS, COST = (4.0, 20.0), 0.25, 2
 #: Labelled documents whose remainder is this one are held out of the fit.
 FOLDS, HELD = 4, 2
 #: Share of good documents that may score below the threshold where no bad ones are labelled, and the step of scores counted for it.
@@ -69,11 +73,11 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def _grams(docs: DataFrame, bits: int, *carry: str) -> DataFrame:
-    """A row for every unigram and bigram of every text, hashed to ``2**bits`` buckets."""
+    """A row for every word and pair of words of every text, each hashed to ``2**bits`` buckets, those of pairs after those of words."""
     pairs = docs.selectExpr(*carry, f"{_WORDS} as words").selectExpr(*carry, "explode(arrays_zip(words, slice(words, 2, greatest(size(words) - 1, 0)))) as pair")
     pairs = pairs.selectExpr(*carry, "pair.`0` as a", "pair.`1` as b") if "0" in pairs.schema["pair"].dataType.names else pairs.selectExpr(*carry, "pair.words as a", "pair.`1` as b")
     mask = (1 << bits) - 1
-    both = f"if(b is null, array(cast(xxhash64(a) & {mask} as int)), array(cast(xxhash64(a) & {mask} as int), cast(xxhash64(a, b) & {mask} as int)))"
+    both = f"if(b is null, array(cast(xxhash64(a) & {mask} as int)), array(cast(xxhash64(a) & {mask} as int), cast(xxhash64(a, b) & {mask} as int) + {1 << bits}))"
     return pairs.selectExpr(*carry, f"explode({both}) as bucket")
 
 
@@ -98,7 +102,7 @@ def parting(steps: list[tuple[int, int, int]], share: float) -> int | None:
     best, at = None, None
     for step, g, b in steps:
         if bad:
-            gain = cut * good - lost * bad
+            gain = cut * good - COST * lost * bad
             if best is None or gain > best:
                 best, at = gain, step
         elif lost + g > share * good:
@@ -108,15 +112,15 @@ def parting(steps: list[tuple[int, int, int]], share: float) -> int | None:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> DataFrame:
-    """``bucket, ratio``: fixed-point log of trusted over corpus probability (add-half smoothing), one row per bucket."""
+    """``bucket, ratio``: fixed-point log of trusted over expected counts, the corpus's share of all trusted ones, each with the prior; one row per bucket."""
     flagged = docs.join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left").select("text", "good")
     counts = _grams(flagged, bits, "good").groupBy("bucket").agg(F.count("good").alias("t"), F.count(F.lit(1)).alias("c"))
-    every = docs.sparkSession.range(1 << bits).selectExpr("cast(id as int) as bucket")
-    counts = every.join(counts, "bucket", "left").selectExpr("bucket", "coalesce(t, 0) as t", "coalesce(c, 0) as c")
-    totals = counts.selectExpr("sum(t) as nt", "sum(c) as nc")  # one row
-    half = 0.5 * (1 << bits)
-    ratio = f"if(nt = 0, 0L, cast(round({SCALE} * (ln((t + 0.5D) / (nt + {half}D)) - ln((c + 0.5D) / (nc + {half}D)))) as bigint))"
-    return counts.join(F.broadcast(totals)).selectExpr("bucket", f"{ratio} as ratio")
+    every = docs.sparkSession.range(2 << bits).selectExpr("cast(id as int) as bucket")
+    counts = every.join(counts, "bucket", "left").selectExpr("bucket", f"bucket div {1 << bits} as kind", "coalesce(t, 0) as t", "coalesce(c, 0) as c")
+    totals = counts.groupBy("kind").agg(F.sum("t").alias("nt"), F.sum("c").alias("nc"))  # two rows
+    prior = f"if(kind = 0, {PRIOR[0]}D, {PRIOR[1]}D)"
+    ratio = f"if(nt = 0, 0L, cast(round({SCALE} * ln((t + {prior}) / (c * (nt / nc) + {prior}))) as bigint))"
+    return counts.join(F.broadcast(totals), "kind").selectExpr("bucket", f"{ratio} as ratio")
 
 
 def quality_rules(
@@ -129,7 +133,11 @@ def quality_rules(
     ratios = scratch.keep(log_ratios(rows, trusted, bits), "ratios")
     marked = rows.selectExpr("doc_id", "text", f"xxhash64({_TEXT}) as mark")
     scores = _grams(marked, bits, "doc_id", "mark").join(F.broadcast(ratios), "bucket").groupBy("doc_id", "mark")
-    scores = scratch.keep(scores.agg(F.sum("ratio").alias("total"), F.count(F.lit(1)).alias("n")).selectExpr("doc_id", "mark", f"total / n / {SCALE} as llr"), "scores")
+    word = F.col("bucket") < (1 << bits)
+    sums = [F.coalesce(F.sum(F.when(k, F.col("ratio"))), F.lit(0)).alias(f"total_{n}") for n, k in (("w", word), ("p", ~word))]
+    sums += [F.count_if(k).alias(f"n_{n}") for n, k in (("w", word), ("p", ~word))]
+    mean = f"(total_w / n_w + {PAIRS}D * coalesce(total_p / nullif(n_p, 0), 0)) / {SCALE}"
+    scores = scratch.keep(scores.agg(*sums).selectExpr("doc_id", "mark", f"{mean} as llr"), "scores")
     threshold = 0.0
     for marks in (held_out(labels), F.broadcast(trusted.withColumn("bad", F.lit(0)))):
         steps = scores.join(marks, "doc_id").groupBy(F.floor(F.col("llr") / STEP).alias("step")).agg(F.count_if(F.col("bad") == 0), F.count_if(F.col("bad") == 1))

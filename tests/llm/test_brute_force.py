@@ -184,11 +184,14 @@ def test_quality(spark, docs):
     hash64 = {}
     pairs = sorted({(a, b) for _, t in TEXTS for w in [words(t)] for a, b in zip(w, [*w[1:], None], strict=False)}, key=str)
     for r in spark.createDataFrame(pairs, "a string, b string").selectExpr("a", "b", "xxhash64(a) & 1023 as u", "xxhash64(a, b) & 1023 as v").collect():
-        hash64[r.a, r.b] = [r.u] + ([r.v] if r.b is not None else [])
-    grams = [[g for a, b in zip(w, [*w[1:], None], strict=False) for g in hash64[a, b]] for w in (words(t) for _, t in TEXTS)]
-    c, good = collections.Counter(g for x in grams for g in x), collections.Counter(g for (i, _), x in zip(TEXTS, grams, strict=True) if i in (1, 8) for g in x)
-    ratio = lambda g: round(SCALE * (math.log((good[g] + 0.5) / (sum(good.values()) + 512)) - math.log((c[g] + 0.5) / (sum(c.values()) + 512))))
-    scores = {i: sum(map(ratio, x)) / len(x) / SCALE for (i, _), x in zip(TEXTS, grams, strict=True) if x}
+        hash64[r.a, r.b] = r.u, r.v if r.b is not None else None
+    kinds = [[[g for a, b in zip(w, [*w[1:], None], strict=False) if (g := hash64[a, b][k]) is not None] for w in (words(t) for _, t in TEXTS)] for k in (0, 1)]
+    means = []
+    for k, prior in enumerate(quality.PRIOR):
+        c, good = collections.Counter(g for x in kinds[k] for g in x), collections.Counter(g for (i, _), x in zip(TEXTS, kinds[k], strict=True) if i in (1, 8) for g in x)
+        share = sum(good.values()) / sum(c.values())
+        means.append([sum(round(SCALE * math.log((good[g] + prior) / (c[g] * share + prior))) for g in x) / max(len(x), 1) / SCALE for x in kinds[k]])
+    scores = {i: u + quality.PAIRS * v for (i, _), u, v in zip(TEXTS, *means, strict=True)}
     for r in rows:
         assert (r.llr is None) == (r.n_words == 0)
         if r.llr is not None:

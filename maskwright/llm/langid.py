@@ -44,7 +44,7 @@ HIDDEN, PIECE, AROUND, ROWS = 12, 224, 16, 1024
 STEPS, BATCH, SEQUENCE, RATE = 250, 192, 64, 0.02
 UNKNOWN = "und"
 #: Share of rightly labelled held-out documents that may score too low for ``accepted``.
-REJECTED = 0.005
+REJECTED = 0.001
 #: Documents whose remainder is this one are held out.
 FOLDS, HELD = 4, 2
 

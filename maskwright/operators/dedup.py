@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from ..staging import written
 from .construct import ranked_sums
 
 _FOLD = r"trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' '))"
@@ -22,11 +23,11 @@ def members(docs: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("digest").agg(F.min("doc_id").alias("representative")), "digest").select("doc_id", "digest", "representative")
 
 
-def shingles(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``doc_id, shingle``: distinct hashes of lower-cased word runs."""
+def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
+    """``doc_id, set_``: distinct hashes of lower-cased word runs."""
     rows = docs.selectExpr("doc_id", f"filter(split(lower({_FOLD}), ' '), w -> w <> '') as w")
     runs = f"if(size(w) < {size}, cast(array() as array<bigint>), array_distinct(transform(sequence(0, size(w) - {size}), i -> xxhash64(array_join(slice(w, i + 1, {size}), ' ')))))"
-    return rows.selectExpr("doc_id", f"explode({runs}) as shingle")
+    return rows.selectExpr("doc_id", f"{runs} as set_")
 
 
 def near_pairs(docs: DataFrame, jaccard: float = 0.8, containment: float = 0.9, least: int = 10, size: int = 5) -> DataFrame:
@@ -39,7 +40,8 @@ def near_pairs(docs: DataFrame, jaccard: float = 0.8, containment: float = 0.9,
     """
     one = docs.join(exact(docs).select("doc_id"), "doc_id", "left_semi")
     t = min(jaccard, containment)
-    rows = shingles(one, size)
+    sets = written(shingle_sets(one, size), "shingles")  # opened for the prefix, whole for the verification
+    rows = sets.selectExpr("doc_id", "explode(set_) as shingle")
     often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df_"))
     ranked = rows.join(often, "shingle").selectExpr("doc_id", "shingle", "row_number() over (partition by doc_id order by df_, shingle) as r_", "count(1) over (partition by doc_id) as n_", "df_")
     shared = ranked.where("df_ > 1").selectExpr("doc_id", "shingle", "n_", f"r_ <= n_ - ceil({t}D * n_) + 1 as head_")
@@ -48,7 +50,6 @@ def near_pairs(docs: DataFrame, jaccard: float = 0.8, containment: float = 0.9,
     some = a.join(b, "shingle").where(f"(np < nq or np = nq and p < q) and (np >= {jaccard}D * nq or np >= {least})").select("p", "q", "np", "nq").distinct()
     some = some.selectExpr("least(p, q) as a", "greatest(p, q) as b", "if(p < q, np, nq) as na", "if(p < q, nq, np) as nb")
     # a pair carries both sets, so no shingle is a key again
-    sets = rows.groupBy("doc_id").agg(F.collect_list("shingle").alias("set_"))
     met = some.join(sets.withColumnsRenamed({"doc_id": "a", "set_": "x_"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "set_": "y_"}), "b").withColumn("both_", F.expr("size(array_intersect(x_, y_))"))
     met = met.selectExpr("a", "b", "both_ / (na + nb - both_) as jaccard", "both_ / least(na, nb) as containment", "least(na, nb) as smaller_")
     return met.where(f"jaccard >= {jaccard}D or containment >= {containment}D and smaller_ >= {least}").drop("smaller_")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import digest16
-from ..operators import attacks, construct, detect, inventory, linear, metrics, occurrences, patches, ports, ranking, reports, sampling, select, stats, taxonomy
+from ..operators import attacks, audits, combine, construct, dedup, detect, inventory, linear, metrics, occurrences, patches, ports, ranking, reports, sampling, select, stats, tasks, taxonomy
 from .queries import _POOL, _SWEEP, VOCABULARY, Tables, _features, _sweep, query
 from .sqltext import LABEL
 
@@ -160,13 +160,7 @@ query(
     """SELECT t.doc_id, t.ord, coalesce(x.label, 'O') AS label FROM tokens t LEFT JOIN (SELECT doc_id, ord, arg_max(label, (s0, s1)) AS label FROM (
         SELECT t.doc_id, t.ord, s.start AS s0, s."end" AS s1, CASE WHEN t.ord = min(t.ord) OVER (PARTITION BY t.doc_id, s.start, s."end", s.type) THEN 'B-' ELSE 'I-' END || s.type AS label
         FROM tokens t JOIN union_ s ON t.doc_id = s.doc_id AND t."end" > s.start AND t.start < s."end") GROUP BY 1, 2) x USING (doc_id, ord)""",
-)(lambda t: linear.task_tags(t.tokens, construct_union(t)).select("doc_id", "ord", "label"))
-
-
-def construct_union(t: Tables) -> DataFrame:
-    from ..operators import combine
-
-    return combine.combine(t.spans, t.docs, "union")
+)(lambda t: linear.task_tags(t.tokens, combine.combine(t.spans, t.docs, "union")).select("doc_id", "ord", "label"))
 
 
 query("multilabel_scores", "doc_id:L tp:L n_gold:L n_got:L f1:D exact:B", """SELECT doc_id, len(list_intersect(a, b)) AS tp, len(list_distinct(a)) AS n_gold, len(list_distinct(b)) AS n_got, CASE WHEN n_gold + n_got = 0 THEN 1 ELSE 2 * tp / (n_gold + n_got) END AS f1, tp = n_gold AND tp = n_got AS exact
@@ -248,6 +242,67 @@ query("detectors_registered", "detector:S n:L", "SELECT detector, count(*) AS n
 )
 
 
+# --- audits and tasks ---------------------------------------------------------------------------
+_NEAR = 's.doc_id = g.doc_id AND s.type = g.type AND g."end" > s.start AND g.start < s."end"'
+query(
+    "rule_precision", "rule:S type:S spans:L exact:L overlap:L",
+    f"""SELECT rule, type, count(*) AS spans, count(*) FILTER (e) AS exact, count(*) FILTER (k > 0) AS overlap FROM (SELECT s.detector AS rule, s.type, s.doc_id, s.start, s."end", coalesce(bool_or(g.start = s.start AND g."end" = s."end"), false) AS e, count(g.doc_id) AS k
+        FROM spans s LEFT JOIN gold g ON {_NEAR} GROUP BY ALL) GROUP BY 1, 2""",
+)(lambda t: audits.rule_precision(t.spans, t.gold))
+query("rule_recall", "rule:S type:S found:L mentions:L", f"SELECT rule, x.type, found, mentions FROM (SELECT s.detector AS rule, g.type, count(DISTINCT (g.doc_id, g.ord)) AS found FROM gold g JOIN spans s ON {_NEAR} GROUP BY 1, 2) x JOIN (SELECT type, count(*) AS mentions FROM gold GROUP BY 1) USING (type)")(
+    lambda t: audits.rule_recall(t.spans, t.gold)
+)
+query("skip_rate", "corpus:S written:L skipped:L rate:D", "SELECT source AS corpus, count(*) FILTER (kept) AS written, count(*) FILTER (NOT kept) AS skipped, count(*) FILTER (NOT kept) / count(*) AS rate FROM resolved JOIN documents USING (doc_id) GROUP BY 1")(
+    lambda t: audits.skip_rate(t.resolved.join(t.docs.selectExpr("doc_id", "source as corpus"), "doc_id"))
+)
+query("compare_layers", "change:S type:S n:L", """SELECT change, type, count(*) AS n FROM (SELECT type, CASE WHEN b IS NULL THEN 'dropped' WHEN a IS NULL THEN 'added' ELSE 'kept' END AS change FROM (SELECT DISTINCT doc_id, start, "end", type, 1 AS a FROM gold) FULL JOIN (SELECT DISTINCT doc_id, start, "end", type, 1 AS b FROM union_) USING (doc_id, start, "end", type)) GROUP BY 1, 2""")(
+    lambda t: audits.compare_layers(t.gold, combine.combine(t.spans, t.docs, "union"))
+)
+query("length_bands", "type:S band:S n:L", """SELECT type, CASE WHEN "end" - start <= 4 THEN '1-4' WHEN "end" - start <= 8 THEN '5-8' WHEN "end" - start <= 16 THEN '9-16' ELSE '17+' END AS band, count(*) AS n FROM gold GROUP BY 1, 2""")(lambda t: audits.length_bands(t.gold))
+query("recurring_surfaces", "documents:L surfaces:L", "SELECT documents, count(*) AS surfaces FROM (SELECT text, count(DISTINCT doc_id) AS documents FROM gold GROUP BY 1) GROUP BY 1")(lambda t: audits.recurring(t.gold))
+query(
+    "record_counts", "detector:S records:L failed:L truncated:L stale:L usable:L",
+    """SELECT detector, count(*) AS records, count(*) FILTER (s = 'failed') AS failed, count(*) FILTER (s = 'truncated') AS truncated, count(*) FILTER (s = 'stale') AS stale, count(*) FILTER (s = 'usable') AS usable
+        FROM (SELECT detector, CASE WHEN doc_id % 7 = 0 THEN 'failed' WHEN doc_id % 5 = 0 THEN 'truncated' WHEN doc_id % 9 = 0 THEN 'stale' ELSE 'usable' END AS s FROM (SELECT DISTINCT detector, doc_id FROM spans)) GROUP BY 1""",
+)(lambda t: audits.record_counts(_records(t), t.docs))
+query("equal_texts", "same:L changed:L missing:L", "SELECT count(*) FILTER (released = text) AS same, count(*) FILTER (released <> text) AS changed, count(*) FILTER (released IS NULL) AS missing FROM documents LEFT JOIN (SELECT * FROM release_c WHERE doc_id IN (SELECT doc_id FROM placed_c)) USING (doc_id)")(
+    lambda t: audits.equal_texts(t.docs, construct.splice(t.docs, t.edits("C"), keep_unpatched=False).withColumnRenamed("released", "text"))
+)
+query("recall_leak_correlation", "n:L pearson:D", f"SELECT count(*) AS n, corr(sensitivity, precision) AS pearson FROM ({_SWEEP})")(lambda t: audits.correlation(_sweep(t)[1], "sensitivity", "precision"))
+
+
+@query("clustering_scores", "precision:D recall:D f1:D inflation:D merge_rate:D", """WITH p AS (SELECT doc_id, start, "end", votes AS merged FROM union_ WHERE type = 'PERSON'), g AS (SELECT * FROM gold WHERE type = 'PERSON'),
+    b AS (SELECT coalesce(sum(least(g."end", p."end") - greatest(g.start, p.start)), 0) AS n, avg((p."end" - p.start) / (g."end" - g.start)) AS inflation FROM g JOIN p ON g.doc_id = p.doc_id AND g."end" > p.start AND g.start < p."end"),
+    x AS (SELECT (SELECT sum("end" - start) FROM g) AS g, (SELECT sum("end" - start) FROM p) AS p, (SELECT avg((merged > 1)::INT) FROM p) AS merge_rate)
+    SELECT n / p AS precision, n / g AS recall, 2 * n / (g + p) AS f1, inflation, merge_rate FROM b, x""")
+def _clustering(t: Tables) -> DataFrame:
+    spans = combine.combine(t.spans, t.docs, "union").where("type = 'PERSON'").selectExpr("doc_id", "start", "end", "votes as merged")
+    return metrics.clustering_scores(t.gold.where("type = 'PERSON'"), spans)
+
+
+@query("ner_agreement", "documents:L agreement:D")
+def _agreement(t: Tables) -> DataFrame:
+    """How far one native detector finds the same spans in the release with names as in the texts."""
+    strict = _native("strict")
+    e = t.edits("B")
+    rows = tasks.agreement(t.docs, construct.splice(t.docs, e), e, lambda docs: strict(docs).withColumnRenamed("type_src", "type"))
+    return rows.agg(F.count(F.lit(1)).alias("documents"), F.avg("score").alias("agreement"))
+
+
+@query("task_coreference", "documents:L conll:D")
+def _task_coreference(t: Tables) -> DataFrame:
+    """A resolver that chains equal words, on the release, against the moved reference chains."""
+    from ..functions.text import words
+
+    e = t.edits("B")
+    chains = lambda docs: words(docs).where("word rlike '^[A-ZÀ-Þ]'").selectExpr("doc_id", "start", "end", "lower(word) as cluster")
+    rows = tasks.coreference(construct.splice(t.docs, e), t.gold, e, chains)
+    return rows.agg(F.count(F.lit(1)).alias("documents"), F.avg("score").alias("conll"))
+
+
+query("draw_units", "unit:L mailbox:S size:L")(lambda t: dedup.draw(t.table("conversations").groupBy(F.col("conv_id").alias("unit")).agg(F.count(F.lit(1)).alias("size")).selectExpr("unit", "concat('m', unit % 9) as mailbox", "size"), 100, 12, 5))
+
+
 def _native(name: str) -> ports.Detector:
     from ..functions.text import words
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..functions.text import digest16, tokens, words
 from ..operators import attacks, combine, construct, dedup, detect, metrics, sampling, select, stats
+from ..staging import written
 from .sqltext import format_preserving, hmac_hex, index32, n1, n2, synthetic, with_
 
 _KINDS = {"L": ("bigint", "BIGINT"), "S": ("string", "VARCHAR"), "B": ("boolean", "BOOLEAN"), "D": ("double", "DOUBLE")}
@@ -471,8 +472,8 @@ VOCABULARY = 20_000
 def _features(t: Tables) -> DataFrame:
     halves = sampling.folds(t.docs.select("doc_id"), 2, 5).selectExpr("doc_id", "if(fold = 0, 'gallery', 'query') as side")
     mentions = t.gold.where("type = 'PERSON'").join(halves, "doc_id")
-    seen = attacks.profiles(t.docs, mentions)
-    return attacks.featurise(seen, attacks.vocabulary(seen, VOCABULARY), VOCABULARY)
+    seen = written(attacks.profiles(t.docs, mentions), "profiles")
+    return written(attacks.featurise(seen, attacks.vocabulary(seen, VOCABULARY), VOCABULARY), "features")
 
 
 query("a3_linkage", "queries:L rank1:D rank5:D mrr:D")(lambda t: attacks.rank_summary(attacks.rank(_features(t))))

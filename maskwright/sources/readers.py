@@ -12,19 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TAB = """doc_id string, text string, dataset_type string, meta map<string, string>, annotations map<string, struct<entity_mentions: array<struct<
+_TAB = """doc_id string, text string, dataset_type string, quality_checked boolean, meta map<string, string>, annotations map<string, struct<entity_mentions: array<struct<
     entity_mention_id: string, entity_type: string, start_offset: int, end_offset: int, entity_id: string, identifier_type: string, span_text: string>>>>"""
 
 
 def tab_json(spark: SparkSession, path: str, annotator: str = "first", types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Annotated court cases, an array of records a file; of each the first annotator by name, or all."""
+    """Annotated court cases, an array of records a file; of each the first annotator by name (``quality_checked``: in checked records the second, where there is one), or all."""
     rows = spark.read.schema(_TAB).json(path, multiLine=True)
-    chosen = "array_sort(map_keys(annotations))" + ("" if annotator == "all" else "[0]")
-    names = f"explode({chosen})" if annotator == "all" else chosen
-    found = rows.selectExpr("doc_id", "text", "annotations", f"{names} as annotator").selectExpr("doc_id", "text", "annotator", "inline(annotations[annotator].entity_mentions)")
+    names = "array_sort(map_keys(annotations))"
+    place = "if(coalesce(quality_checked, false) and size(annotations) > 1, 1, 0)" if annotator == "quality_checked" else "0"
+    chosen = f"explode({names})" if annotator == "all" else f"get({names}, {place})"
+    found = rows.selectExpr("doc_id", "text", "annotations", f"{chosen} as annotator").selectExpr("doc_id", "text", "annotator", "inline(annotations[annotator].entity_mentions)")
     found = found.selectExpr(
         "doc_id", "annotator", "entity_mention_id as mention_id", "start_offset as start", "end_offset as end", "substring(text, start_offset + 1, end_offset - start_offset) as text",
-        "entity_type as type", "concat(doc_id, '#', entity_id) as entity", "identifier_type as identifier_class",
+        "if(entity_type = 'DEM', 'DEMOGRAPHIC', entity_type) as type", "entity_type as type_src", "concat(doc_id, '#', entity_id) as entity", "identifier_type as identifier_class",
     )
     if types is not None:
         found = found.where(F.col("type").isin(types))

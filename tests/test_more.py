@@ -8,8 +8,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from maskwright.operators import attacks, construct, inventory, linear, occurrences, patches, ports, ranking, reports, taxonomy
+from pyspark.sql import functions as F
+
 from maskwright.functions.text import tokens
+from maskwright.operators import attacks, audits, construct, inventory, linear, occurrences, patches, ports, ranking, reports, tasks, taxonomy
+from maskwright.sources import readers
 
 
 def test_routes_against_tables(spark):
@@ -232,3 +235,58 @@ def test_reports(spark):
     picked = reports.decile_sample(spark.createDataFrame([(f"s{i:03d}", i / 7) for i in range(100)], "source string, v double"), "source", "v", 2, 1, ["s000"])
     assert 20 <= picked.count() <= 21 and picked.where("source = 's000'").count() == 1
     assert "&lt;b&gt;" in reports.page("t", {"x": (["a"], [["<b>"], [None], [0.5]])})
+
+
+def test_tasks_and_answers(spark):
+    assert tasks.parse_array('so ["a", 3, {"x": 1}] ok') == ["a", "3"] and tasks.parse_array("- one\n* two\n") == ["one", "two"] and tasks.parse_array(None) == []
+    assert tasks.closest("Anamnesis.", ["Anamnesis", "Diagnosis"]) == "Anamnesis" and tasks.closest("the diagnosis", ["Anamnesis", "Diagnosis"]) == "Diagnosis" and tasks.closest("x", ["a", "b"]) is None
+    rows = spark.createDataFrame([(1, ["a"], ["a", "b"]), (2, [], [])], "doc_id long, gold array<string>, got array<string>")
+    assert {r.doc_id: round(r.score, 3) for r in tasks.multilabel(rows).collect()} == {1: 0.667, 2: 1.0}
+    items = spark.createDataFrame([(1, "x", True, True, True), (1, "y", False, True, False), (2, "z", True, False, True)], "doc_id long, item string, in_narrative boolean, is_gold boolean, is_got boolean")
+    assert {(r.doc_id, r.split): round(r.f1, 3) for r in linear.split_scores(items).collect()} == {(1, "all"): 0.667, (1, "narrative"): 1.0, (1, "other"): 0.0, (2, "all"): 0.0, (2, "narrative"): 0.0, (2, "other"): 1.0}
+    scored = tasks.regression(spark.createDataFrame([(1, 2.0, 3.5)], "doc_id long, value double, truth double"))
+    assert scored.first().score == -1.5
+    swept = tasks.sweep({"A": rows, "B": rows}, tasks.multilabel, "t")
+    assert swept.count() == 4
+    kept, gone = linear.score_vector("t", swept.selectExpr("doc_id", "if(doc_id = 1, null, score) as s"), "s")
+    assert kept.count() == 2 and gone.first().skipped == 2
+    docs, spans, gold = _released(spark)
+    e = construct.edits(spans.where("kept"), "concat('[', type, ']')")
+    released = construct.splice(docs, e)
+    whole = tasks.agreement(docs, released, e, lambda d: d.selectExpr("doc_id", "0 as start", "8 as end", "'P' as type").where("doc_id = 1"))
+    assert {r.doc_id: r.score for r in whole.collect()} == {1: 1.0, 2: 1.0}
+
+
+def test_audits(spark):
+    dates = [("3.4.21", "03.04.2021"), ("2021-4-3", "03.04.2021"), ("3. März 2021", "03.03.2021"), ("soon", None), ("3. Foo 2021", None)]
+    got = {r.s: r.d for r in spark.createDataFrame([(a,) for a, _ in dates], "s string").selectExpr("s", f"{audits.german_date('s')} as d").collect()}
+    assert got == dict(dates)
+    names = [r.s for r in spark.createDataFrame([("10",), ("9",), ("b",), ("a",)], "s string").orderBy(F.expr(audits.numeric_order("s"))).collect()]
+    assert names == ["9", "10", "a", "b"]
+    assert audits.attack_row("a2", "B", "x", {"r": 0.5, "s": float("nan"), "t": None}) == [("a2", "B", "x", "r", 0.5, ""), ("a2", "B", "x", "s", None, ""), ("a2", "B", "x", "t", None, "")]
+
+
+def test_records(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id long, text string")
+    digest = {r.doc_id: r.d for r in docs.selectExpr("doc_id", "substring(sha2(text, 256), 1, 16) as d").collect()}
+    rows = [(1, "d", "c", 0, digest[1], "timeout", [1]), (1, "d", "c", 1, digest[1], None, [2]), (2, "d", "c", 0, "old", None, [3]), (3, "d", "c", 0, digest[3], "x", [4])]
+    records = spark.createDataFrame(rows, "doc_id long, detector string, corpus string, seq int, text_sha256 string, error string, spans array<int>")
+    readers.append_records(records.where("seq = 0"), str(tmp_path / "r"))
+    readers.append_records(records.where("seq = 1"), str(tmp_path / "r"))
+    back = spark.read.parquet(str(tmp_path / "r"))
+    assert sorted(r.doc_id for r in readers.pending(docs, back).collect()) == [2, 3]
+    assert {r.doc_id: r.spans for r in readers.latest(back).collect()} == {1: [2], 2: [3], 3: [4]}
+    usable = patches.usable(back.withColumn("truncated", F.lit(False)), docs)
+    assert [r.doc_id for r in usable.collect()] == [1]
+    with pytest.raises(Exception, match="members share only"):
+        patches.covered_by_all(back.union(back.where("doc_id = 1").withColumn("detector", F.lit("e"))), ["d", "e"]).collect()
+    assert patches.covered_by_all(back, ["d"]).count() == 3
+
+
+def test_court_cases(spark, tmp_path):
+    mention = lambda i, a, b, t: {"entity_mention_id": f"m{i}", "entity_type": t, "start_offset": a, "end_offset": b, "entity_id": f"e{i}", "identifier_type": "DIRECT", "span_text": ""}
+    record = {"doc_id": "d", "text": "Ann saw Bo", "dataset_type": "dev", "quality_checked": True, "meta": {}, "annotations": {"a2": {"entity_mentions": [mention(2, 8, 10, "DEM")]}, "a1": {"entity_mentions": [mention(1, 0, 3, "PERSON")]}}}
+    (tmp_path / "x.json").write_text(json.dumps([record, record | {"doc_id": "e", "quality_checked": False}]))
+    got = {c: sorted((r.doc_id, r.text, r.type) for r in readers.tab_json(spark, str(tmp_path / "x.json"), c)[1].collect()) for c in ("first", "quality_checked", "all")}
+    assert got["first"] == [("d", "Ann", "PERSON"), ("e", "Ann", "PERSON")] and got["quality_checked"] == [("d", "Bo", "DEMOGRAPHIC"), ("e", "Ann", "PERSON")] and len(got["all"]) == 4
+    assert readers.tab_json(spark, str(tmp_path / "x.json"), "all", ["DEMOGRAPHIC"])[1].count() == 2

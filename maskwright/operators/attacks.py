@@ -210,10 +210,6 @@ def rank(features: DataFrame, weights: dict[int, float] | None = None) -> DataFr
     Each query carries the similarity to its truth; blocks of queries meet
     blocks of the gallery and return counts of better candidates, never pairs.
     """
-    if weights is not None:
-        table = F.create_map(*(F.lit(x) for k, w in weights.items() for x in (k, float(w))))
-        features = features.withColumn("m_", table).selectExpr("side", "entity", "cols", "zip_with(cols, ws, (c, w) -> w * coalesce(m_[c], 1D)) as ws")
-        features = features.selectExpr("side", "entity", "cols", "transform(ws, w -> w / greatest(sqrt(aggregate(ws, 0D, (a, x) -> a + x * x)), 1e-9)) as ws")
     gallery = features.where("side = 'gallery'").selectExpr("entity", "cols", "ws")
     queries = features.where("side = 'query'").selectExpr("entity", "cols", "ws").join(gallery.selectExpr("entity", "cols as tc", "ws as tw"), "entity")
     n_q, n_g = (max(1, -(-x.count() // RANKED)) for x in (queries, gallery))
@@ -223,11 +219,17 @@ def rank(features: DataFrame, weights: dict[int, float] | None = None) -> DataFr
     left = q.selectExpr("a", "q", f"explode(sequence(0L, {n_g - 1}L)) as b")
     met_ = left.join(g.hint("merge"), "b").repartition(max(1, min(n_q * n_g, 100_000)), "a", "b")
 
+    def weighted(rows: pd.DataFrame, cols: str, ws: str) -> list[np.ndarray]:
+        out = [np.asarray(w, float) * np.array([weights.get(int(i), 1.0) for i in c]) for c, w in zip(rows[cols], rows[ws], strict=True)]
+        return [w / max(float(np.linalg.norm(w)), 1e-9) for w in out]
+
     def better(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for mine, theirs in zip(frame["q"], frame["g"], strict=True):
                 a, b = (pd.DataFrame.from_records(list(x)) for x in (mine, theirs))
                 a, b = a.sort_values("entity"), b.sort_values("entity")
+                if weights is not None:
+                    a, b = a.assign(ws=weighted(a, "cols", "ws"), tw=weighted(a, "tc", "tw")), b.assign(ws=weighted(b, "cols", "ws"))
                 truth = np.round([float(np.dot(*_aligned(*x))) for x in zip(a["cols"], a["ws"], a["tc"], a["tw"], strict=True)], 9)[:, None]
                 sim = np.round(similarity(a, b), 9)
                 before = b["entity"].to_numpy()[None, :] < a["entity"].to_numpy()[:, None]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import digest16
 from ..operators import attacks, audits, combine, construct, dedup, detect, inventory, linear, metrics, occurrences, patches, ports, ranking, reports, sampling, select, stats, tasks, taxonomy
+from ..staging import written
 from .queries import _POOL, _SWEEP, VOCABULARY, Tables, _features, _sweep, query
 from .sqltext import LABEL
 
@@ -151,7 +152,7 @@ def _labelled(t: Tables) -> DataFrame:
 @query("task_quality", "documents:L accuracy:D")
 def _task_quality(t: Tables) -> DataFrame:
     """Quality labels predicted by two cross-fitted classifiers of words and characters."""
-    got = linear.cross_fit(_labelled(t).repartition(8), ["words_", "chars_"], 2, 3, least=3, iterations=20)
+    got = linear.cross_fit(written(_labelled(t), "terms"), ["words_", "chars_"], 2, 3, least=3, iterations=20)
     return got.agg(F.count(F.lit(1)).alias("documents"), F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("accuracy"))
 
 

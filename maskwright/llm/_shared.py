@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Written or freed tables of this size make the JVM's cleaner run, which deletes shuffle files nobody reads any more.
-TIDY_BYTES = 64 << 20
+#: Session setting that deletes an execution's shuffle files when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own: list[str] = []
 
@@ -42,36 +41,28 @@ def free_prefix(columns: Iterable[str]) -> str:
 class Scratch:
     """Writes cut lineage at a table; ``drop`` frees a table once nothing lazy reads it.
 
-    A written table survives the loss of any executor.  Shuffle files that only
-    fed a written table go when the JVM's cleaner sees that nothing refers to
-    them, so writing a large table runs it.
+    A written table survives the loss of any executor, so the shuffle files that
+    fed it go as soon as it is written.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: dict[int, str] = {}
 
-    def _path(self, path: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
-
     def keep(self, frame: DataFrame, tag: str) -> DataFrame:
         path = new_path(self.spark, tag)
-        frame.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(FREE_SHUFFLES)
+        self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            frame.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before)
         out = self.spark.read.schema(frame.schema).parquet(path)
         self.paths[id(out)] = path
-        del frame
-        system, where = self._path(path)
-        if system.getContentSummary(where).getLength() >= TIDY_BYTES:
-            self.tidy()
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for frame in frames:
             if path := self.paths.pop(id(frame), None):
-                system, where = self._path(path)
-                system.delete(where, True)
-
-    def tidy(self) -> None:
-        gc.collect()
-        self.spark._jvm.System.gc()
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

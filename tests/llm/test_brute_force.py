@@ -357,6 +357,37 @@ def test_mix(spark, docs):
     assert {k: v for k, v in took.items() if v} == {k: v for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("leaves, epochs", [(50_000, 3), (0, 3), (50_000, 1)])
+def test_mix_takes_seeded_prefixes(spark, monkeypatch, leaves, epochs):
+    """Which documents each leaf takes, in which epoch: the prefix by hash, another order in every epoch; the last one in part."""
+    monkeypatch.setattr(mix, "BROADCAST_LEAVES", leaves)
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(i * 7 % 11)), "ab"[i % 2], f"s{i % 3}") for i in range(90)] + [(None, "no id", "a", "s0"), (3, "same id other text", "b", "s0"), (5, "x y", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    weights = {("d", "a"): 9, ("d", "b"): 1}
+    got = mix.mix_sources(spark, docs, domain="'d'", weights=weights, share=0.8, epochs=epochs, buckets=8).collect()
+    at = spark.createDataFrame([(e,) for e in range(epochs + 1)], "e long").crossJoin(docs.selectExpr("*", "xxhash64(coalesce(text, '')) as mark")).selectExpr("*", f"xxhash64({mix.SEED}, e, doc_id, mark) as at").collect()
+    tokens = collections.Counter()
+    for _, t, lang, source in rows:
+        tokens["d", lang or mix.NULL, source or mix.NULL] += len(words(t))
+    parts = mix.budgets(tokens, weights, int(0.8 * sum(tokens.values())), epochs)
+    want = collections.Counter()
+    for leaf, n in tokens.items():
+        full, rest = divmod(parts.get(leaf, 0), n) if n else (0, 0)
+        mine = [r for r in at if ("d", r.lang or mix.NULL, r.source or mix.NULL) == leaf]
+        for r in mine:
+            if r.e < full:
+                want[r.doc_id, r.mark, r.e, len(words(r.text))] += 1
+        for r in sorted((r for r in mine if r.e == full), key=lambda r: (r["at"], r.doc_id is not None, r.doc_id or 0, r.mark)):
+            if rest <= 0:
+                break
+            take = min(len(words(r.text)), rest)
+            want[r.doc_id, r.mark, full, take] += 1
+            rest -= take
+    assert collections.Counter((r.doc_id, r.mark, r.epoch, r.take_tokens) for r in got) == want
+    orders = [[(r.doc_id, r.mark) for r in sorted((r for r in at if r.e == e), key=lambda r: r["at"])] for e in (0, 1)]
+    assert orders[0] != orders[1]
+
+
 def test_recursion_skips_clusters():
     """Leaves of far clusters are skipped, and no link is lost; of evenly spread vectors next to nothing is."""
     rng = np.random.default_rng(12)

@@ -200,7 +200,7 @@ def similarity(queries: pd.DataFrame, gallery: pd.DataFrame) -> np.ndarray:
     lo, hi = np.searchsorted(gc, qc, "left"), np.searchsorted(gc, qc, "right")
     n = hi - lo
     at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    np.add.at(out.reshape(-1), np.repeat(qi, n) * len(gallery) + gi[at], np.repeat(qw, n) * gw[at])
+    out += np.bincount(np.repeat(qi, n) * len(gallery) + gi[at], np.repeat(qw, n) * gw[at], out.size).reshape(out.shape)
     return out
 
 

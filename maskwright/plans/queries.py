@@ -50,7 +50,9 @@ class Tables:
 
     @property
     def docs(self) -> DataFrame:
-        return self.table("documents")
+        """Dealt by id where there are fewer files than tasks: a single file would be opened, tokenised and detected in one task."""
+        rows, n = self.table("documents"), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(n, "doc_id") if len(rows.inputFiles()) < n else rows
 
     @property
     def words(self) -> DataFrame:

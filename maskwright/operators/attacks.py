@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,13 +126,42 @@ def neighbours(mentions: DataFrame) -> DataFrame:
     return a.join(b, F.expr("a.doc_id = b.doc_id and a.entity <> b.entity")).groupBy("a.entity", F.col("b.entity").alias("other")).agg(F.sum("a.m").alias("w"))
 
 
+_CONTEXT = re.compile(r"[A-Za-z][A-Za-z'\-]{2,}")
+
+
 def context(docs: DataFrame, mentions: DataFrame, reach: int = 120, by: tuple[str, ...] = ("entity",)) -> DataFrame:
-    """``entity, term, n`` (or other columns of the mentions than ``entity``): words within ``reach`` characters of an entity's mentions, stop words left out."""
-    met = mentions.select("doc_id", "start", "end", *by).join(docs.select("doc_id", "text"), "doc_id")
-    near = f"concat(substring(text, greatest(start - {reach}, 0) + 1, least(start, {reach})), ' ', substring(text, end + 1, {reach}))"
-    terms = met.selectExpr(*by, f"explode(regexp_extract_all({near}, '([A-Za-z][A-Za-z\\\\x27\\\\-]{{2,}})', 1)) as t").selectExpr(*by, "lower(t) as term")
-    stop = ", ".join(f"'{w}'" for w in STOP)
-    return terms.where(f"term not in ({stop})").groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n"))
+    """``entity, term, n`` (or other columns of the mentions than ``entity``): words within ``reach`` characters of an entity's mentions, stop words left out.
+
+    A document's mentions travel to its text, which is read once; counts are
+    summed in the document before they are shuffled.
+    """
+    listed = mentions.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", *by)).alias("m_"))
+    rows = docs.select("doc_id", "text").join(listed, "doc_id").select("text", "m_")
+    stop = frozenset(STOP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("m_")
+            flat, sizes = lists.flatten(), lists.value_lengths().to_pylist()
+            places = list(zip(flat.field("start").to_pylist(), flat.field("end").to_pylist(), *(flat.field(c).to_pylist() for c in by), strict=True))
+            at, keys, terms, counts = 0, [], [], []
+            for text, size in zip(batch.column("text").to_pylist(), sizes, strict=True):
+                held: Counter = Counter()
+                for start, end, *key in places[at : at + size]:
+                    near = text[max(0, start - reach) : start] + " " + text[end : end + reach]
+                    held.update([(*key, w) for w in map(str.lower, _CONTEXT.findall(near)) if w not in stop])
+                at += size
+                for (*key, term), n in held.items():
+                    keys.append(key)
+                    terms.append(term)
+                    counts.append(n)
+            columns = [pa.array(list(c), flat.field(name).type) for name, c in zip(by, zip(*keys, strict=True), strict=True)] if keys else [pa.array([], flat.field(name).type) for name in by]
+            whole = pa.RecordBatch.from_arrays([*columns, pa.array(terms, pa.string()), pa.array(counts, pa.int64())], [*by, "term", "n"])
+            for i in range(0, max(len(terms), 1), 1 << 16):
+                yield whole.slice(i, 1 << 16)
+
+    kinds = ", ".join(f"`{c}` {mentions.schema[c].dataType.simpleString()}" for c in by)
+    return rows.mapInArrow(run, f"{kinds}, term string, n long").groupBy(*by, "term").agg(F.sum("n").alias("n"))
 
 
 def profiles(docs: DataFrame, mentions: DataFrame, reach: int = 120, by: tuple[str, ...] = ("side", "entity")) -> DataFrame:

@@ -16,7 +16,8 @@ inputs.
 
 ``accepted`` rejects texts that score lower than all but ``REJECTED`` of held-out
 documents of known language do, so the bar follows the model and the number of
-languages.
+languages.  Every such document is scored for the bar, which is their exact
+quantile.
 
 Cases: null text, or text without a letter, is ``und`` with score 0; texts are
 read whole; a null id is not held out and not learned from; repeated rows are
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import free_prefix
+from ._shared import Scratch, free_prefix
 from ._words import slices
 
 PER_LANGUAGE, MOST, WINDOWS, WINDOW = 300, 4, 8, 160
@@ -45,6 +46,8 @@ STEPS, BATCH, SEQUENCE, RATE = 250, 192, 64, 0.02
 UNKNOWN = "und"
 #: Share of rightly labelled held-out documents that may score too low for ``accepted``.
 REJECTED = 0.001
+#: Bins of a round that narrows down a quantile.
+BINS = 4096
 #: Documents whose remainder is this one are held out.
 FOLDS, HELD = 4, 2
 
@@ -153,10 +156,15 @@ def train(windows: list[tuple[bytes, int]], languages: int, steps: int | None =
     return p
 
 
-def _chosen(docs: DataFrame, held: bool, per_language: int) -> tuple[DataFrame, int] | None:
-    """``lang, text, at`` of about ``per_language`` labelled documents of each language, by hashed id, and a bound on their number; held-out rows only, or none of them."""
+def _labelled(docs: DataFrame, held: bool) -> DataFrame:
+    """Labelled documents with a text; held-out rows only, or none of them."""
     remainder = F.expr(f"crc32(cast(doc_id as string)) % {FOLDS}")
-    usable = docs.where(((remainder == HELD) if held else (remainder != HELD)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return docs.where(((remainder == HELD) if held else (remainder != HELD)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
+def _chosen(docs: DataFrame, per_language: int) -> tuple[DataFrame, int] | None:
+    """``lang, text, at`` of about ``per_language`` labelled documents of each language, by hashed id, and a bound on their number; none held out."""
+    usable = _labelled(docs, False)
     counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return None
@@ -168,7 +176,7 @@ def _chosen(docs: DataFrame, held: bool, per_language: int) -> tuple[DataFrame,
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """(language, window of text) pairs of labelled documents that are not held out."""
-    chosen = _chosen(docs, False, per_language)
+    chosen = _chosen(docs, per_language)
     if chosen is None:
         return []
     place = f"1 + pmod(xxhash64(at, i), greatest(length(text) - {WINDOW} + 1, 1))"
@@ -308,16 +316,30 @@ def identify_language(
     return out.withColumnsRenamed({"__lang": "lang_pred", "__score": "score"})
 
 
+def at_rank(scores: DataFrame, rank: int) -> float:
+    """The value of ``score`` with this rank (from 0), exactly: rounds of counts in bins of the interval it lies in; at most ``BINS + 1`` rows reach the driver."""
+    score = F.col("score")
+    low, high = scores.agg(F.min(score), F.max(score)).first()
+    while low < high:  # least and greatest value fall in different bins, so every round narrows the interval
+        bins = scores.where(score.between(low, high)).groupBy(F.floor((score - low) / (high - low) * BINS).alias("bin"))
+        for _, n, low, high in sorted(bins.agg(F.count(F.lit(1)), F.min(score), F.max(score)).collect()):
+            if rank < n:
+                break
+            rank -= n
+    return low
+
+
 def least_score(docs: DataFrame, names: list[str], p: Params, share: float = REJECTED) -> float:
-    """The score that all but ``share`` of the rightly labelled held-out documents reach (whole texts; training documents where none is held out)."""
+    """The score that all but ``share`` of the rightly labelled held-out documents reach, from all of them and their whole texts (training documents where none held out is rightly labelled)."""
+    scratch = Scratch(docs.sparkSession)
     for held in (True, False):
-        chosen = _chosen(docs, held, PER_LANGUAGE)
-        if chosen is None:
-            continue
-        scored = chosen[0].limit(chosen[1]).select("lang", "text").mapInArrow(_predict(names, p, "__"), "lang string, __lang string, __score double")
-        scores = sorted(r[0] for r in scored.where("lang = __lang").select("__score").collect())
-        if scores:
-            return scores[int(share * len(scores))]
+        scored = _labelled(docs, held).select("lang", "text").mapInArrow(_predict(names, p, "__"), "lang string, __lang string, __score double")
+        scores = scratch.keep(scored.where("lang = __lang").select(F.col("__score").alias("score")), "scores")
+        n = scores.count()
+        least = at_rank(scores, int(share * n)) if n else None
+        scratch.drop(scores)
+        if least is not None:
+            return least
     return 0.0
 
 

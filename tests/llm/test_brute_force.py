@@ -320,6 +320,31 @@ def test_language_held_out_accuracy(spark):
     assert n > 150 and right >= 0.98 * n, (right, n)
 
 
+def test_language_threshold_comes_from_all_held_out(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, "".join(rng.choice(list("abcdeé ñ"), 3 + i % 40)), "ab"[i % 2]) for i in range(6000)] + [(-1, None, "a"), (-2, "12 34", "b"), (-3, "abc", None), (None, "abc", "a")]
+    rows += rows[:500]
+    p, names = langid.init(3, hidden=5, seed=3), ["a", "b"]
+    held = [(t, lang) for i, t, lang in rows if i is not None and zlib.crc32(str(i).encode()) % 4 == 2 and lang and re.search(r"[^\W\d_]", t or "")]
+    sums = langid.Labeller(p).texts(pa.array([t for t, _ in held]))
+    prob = sums / sums.sum(axis=1, keepdims=True)
+    best = prob[:, :2].argmax(axis=1)
+    want = sorted(prob[k, b] for k, (b, (_, lang)) in enumerate(zip(best, held, strict=True)) if names[b] == lang)
+    assert len(want) > 600  # more than a bounded number for each language would be
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for share in (0.0, langid.REJECTED, 0.01, 0.3):
+        assert langid.least_score(docs, names, p, share) == pytest.approx(want[int(share * len(want))], abs=1e-6)
+
+
+def test_value_at_a_rank(spark):
+    rng = np.random.default_rng(2)
+    for values in ([0.5], [0.25] * 7, [0.0, 1e-300, 2e-300, 1.0], [*rng.random(300), *rng.choice([0.2, 0.9], 100), 0.2 + 2e-17, 0.9 - 1e-16]):
+        scores = spark.createDataFrame([(float(v),) for v in values], "score double")
+        for rank in {0, 1, len(values) // 3, len(values) // 2, len(values) - 1}:
+            if rank < len(values):
+                assert langid.at_rank(scores, rank) == sorted(values)[rank]
+
+
 def test_language_column_of_another_type(spark):
     rows = [(i, ("the king and " if i % 2 else "çã ñu ") * 30, i % 2) for i in range(40)]
     got = langid.identify_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang int")).collect()

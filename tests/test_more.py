@@ -3,15 +3,20 @@
 import itertools
 import json
 import random
+import tracemalloc
 
+import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
+from maskwright.functions import text
 from maskwright.functions.text import tokens
-from maskwright.operators import attacks, audits, construct, inventory, linear, occurrences, patches, ports, ranking, reports, tasks, taxonomy
+from maskwright.operators import attacks, audits, construct, inventory, linear, occurrences, patches, ports, ranking, reports, sampling, tasks, taxonomy
+from maskwright.plans import QUERIES
 from maskwright.sources import readers
 
 
@@ -290,3 +295,29 @@ def test_court_cases(spark, tmp_path):
     got = {c: sorted((r.doc_id, r.text, r.type) for r in readers.tab_json(spark, str(tmp_path / "x.json"), c)[1].collect()) for c in ("first", "quality_checked", "all")}
     assert got["first"] == [("d", "Ann", "PERSON"), ("e", "Ann", "PERSON")] and got["quality_checked"] == [("d", "Bo", "DEMOGRAPHIC"), ("e", "Ann", "PERSON")] and len(got["all"]) == 4
     assert readers.tab_json(spark, str(tmp_path / "x.json"), "all", ["DEMOGRAPHIC"])[1].count() == 2
+
+
+def _peak(run, batch):
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return rows, peak
+
+
+def test_batches_are_opened_in_runs():
+    """What a Python worker holds of pieces does not grow with the documents of a batch."""
+    one = "Anna met Bob in Rome " * 1000
+
+    def batch(n):
+        spans = [[{"start": 5 * i, "end": 5 * i + 4, "source": "s"} for i in range(100)]] * n
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.string())]))
+        return pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([one] * n), pa.array(spans, kind)], ["doc_id", "text", "spans_"])
+
+    for run in (text._opened(text.WORD, True), text._opened(text.TOKEN, False), text._meet(["start", "end", "source"], True)):
+        (few, low), (many, high) = _peak(run, batch(50)), _peak(run, batch(250))
+        assert few == 50 * 5000 and many == 5 * few
+        assert high < 1.5 * low
+    none = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([None, "", "x" * (3 * text.HELD)])], ["doc_id", "text"])
+    assert [x.num_rows for x in text.runs(none)] == [2, 1]
+    assert [x.to_pydict()["tok"] for x in text._opened(text.WORD, False)(iter([none]))] == [["x" * (3 * text.HELD)]]

@@ -8,15 +8,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def pools(inventory: DataFrame, by: Sequence[str] = ("type", "lang")) -> DataFrame:
-    """``by, size, entries``: each pool as one sorted array of ``(upto, surface)``, in order of frequency and name, with cumulated frequencies.
+def ranked(inventory: DataFrame, by: Sequence[str] = ("type", "lang")) -> DataFrame:
+    """``by, surface_, place_, size_, upto_, total_``: each pool in order of frequency and name, with cumulated frequencies."""
+    pool = f"partition by {', '.join(by)}"
+    rows = inventory.selectExpr(*by, "surface as surface_", "cast(freq as double) as freq_")
+    order = f"{pool} order by freq_ desc, surface_"
+    rows = rows.selectExpr(*by, "surface_", f"row_number() over ({order}) - 1 as place_", f"count(1) over ({pool}) as size_", f"sum(freq_) over ({order} rows between unbounded preceding and current row) as upto_")
+    return rows.selectExpr("*", f"max(if(place_ = size_ - 1, upto_, null)) over ({pool}) as total_")
 
-    Pools are lists of names (some ten thousand at most, ``limit`` where they
-    are made), so a pool is a row and a draw is a look into an array.
+
+def _picked(rows: DataFrame, entries: DataFrame, by: Sequence[str], weighted: bool) -> DataFrame:
+    """``rows`` with ``size_`` of the pool and ``surface_`` drawn from it, both null without a pool: a join with the entry, never with the pool.
+
+    A pool of n names has n equal buckets of cumulated frequency: an entry is in
+    each that its interval meets (two on the mean) and a draw meets the entries
+    of its own.
     """
-    ordered = inventory.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("freq")).alias("f"), "surface"))).alias("e"))
-    upto = "aggregate(e, cast(array() as array<double>), (a, x) -> concat(a, array(coalesce(try_element_at(a, -1), 0D) - x.f)))"
-    return ordered.selectExpr(*by, "size(e) as size", f"arrays_zip({upto}, transform(e, x -> x.surface)) as z").selectExpr(*by, "size", "transform(z, x -> struct(x['0'] as upto, x['1'] as surface)) as entries")
+    sizes = entries.where("place_ = 0").select(*by, "size_", "total_")  # a row for each pool
+    rows = rows.join(F.broadcast(sizes), list(by), "left")
+    if not weighted:
+        return rows.selectExpr("*", "idx % size_ as place_").join(entries.select(*by, "place_", "surface_"), [*by, "place_"], "left").drop("place_", "total_")
+    bucket = lambda x: f"least(size_ - 1, greatest(0L, coalesce(cast(floor({x} / nullif(total_, 0D) * size_) as bigint), 0L)))"
+    held = entries.selectExpr("*", f"coalesce(lag(upto_) over (partition by {', '.join(by)} order by place_), 0D) as from_")
+    held = held.selectExpr(
+        *by, "surface_", "if(place_ = 0, -double('infinity'), from_) as low_", "if(place_ = size_ - 1, double('infinity'), upto_) as high_",
+        f"explode(sequence(if(place_ = 0, 0L, {bucket('from_')}), if(place_ = size_ - 1, size_ - 1, {bucket('upto_')}))) as bucket_",
+    )
+    rows = rows.selectExpr("*", "idx / 4294967296D * total_ as at_").selectExpr("*", f"{bucket('at_')} as bucket_").alias("m")
+    on = " and ".join(f"m.{c} = e.{c}" for c in (*by, "bucket_"))
+    return rows.join(held.alias("e"), F.expr(f"{on} and m.at_ >= e.low_ and m.at_ < e.high_"), "left").select("m.*", "e.surface_").drop("at_", "bucket_", "total_")
 
 
 def drawn(mentions: DataFrame, inventory: DataFrame, weighted: bool = False, attributes: Sequence[str] = ()) -> DataFrame:
@@ -26,17 +46,14 @@ def drawn(mentions: DataFrame, inventory: DataFrame, weighted: bool = False, att
     cumulated frequency is over ``idx / 2**32`` of the total.  A type and
     language without a pool is an error, never another language.
     """
-    base = pools(inventory).selectExpr("type", "lang", "size as n0_", "entries as e0_")
-    rows = mentions.join(F.broadcast(base), ["type", "lang"], "left")
+    by = ["type", "lang"]
+    rows = _picked(mentions, ranked(inventory, by), by, weighted)
     if attributes:
-        strata = pools(inventory.where(" and ".join(f"{a} is not null" for a in attributes)), ("type", "lang", *attributes)).withColumnsRenamed({"size": "n1_", "entries": "e1_"})
-        rows = rows.join(F.broadcast(strata), ["type", "lang", *attributes], "left")
-        rows = rows.withColumns({"n_": F.coalesce("n1_", "n0_"), "e_": F.coalesce("e1_", "e0_")}).drop("n0_", "e0_", "n1_", "e1_")
-    else:
-        rows = rows.withColumnsRenamed({"n0_": "n_", "e0_": "e_"})
-    place = "least(size(filter(e_, x -> x.upto <= idx / 4294967296D * e_[n_ - 1].upto)), n_ - 1)" if weighted else "cast(idx % n_ as int)"
+        strata = ranked(inventory.where(" and ".join(f"{a} is not null" for a in attributes)), [*by, *attributes])
+        rows = _picked(rows.withColumnsRenamed({"size_": "size0_", "surface_": "surface0_"}), strata, [*by, *attributes], weighted)
+        rows = rows.withColumns({"surface_": F.expr("if(size_ is null, surface0_, surface_)"), "size_": F.coalesce("size_", "size0_")})
     message = "concat('no names for type ', type, ', language ', coalesce(lang, '(null)'))"
-    return rows.selectExpr(*(f"`{c}`" for c in mentions.columns), f"if(n_ is null, raise_error({message}), e_[{place}].surface) as surrogate")
+    return rows.selectExpr(*(f"`{c}`" for c in mentions.columns), f"if(size_ is null, raise_error({message}), surface_) as surrogate")
 
 
 def attested(mentions: DataFrame, least: int = 2, limit: int = 20_000) -> DataFrame:

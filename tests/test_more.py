@@ -321,3 +321,25 @@ def test_batches_are_opened_in_runs():
     none = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([None, "", "x" * (3 * text.HELD)])], ["doc_id", "text"])
     assert [x.num_rows for x in text.runs(none)] == [2, 1]
     assert [x.to_pydict()["tok"] for x in text._opened(text.WORD, False)(iter([none]))] == [["x" * (3 * text.HELD)]]
+
+
+def test_weighted_draws_from_a_long_pool(spark):
+    """The entry of every draw, ends of intervals, free entries and out-of-range indexes among them, without an array of the pool in a row."""
+    rng = random.Random(7)
+    names = [("P", lang, f"n{i:05d}", float(rng.choice([0, 1, 1, 2, 500]))) for lang in ("en", "de") for i in range(3000)]
+    stock = spark.createDataFrame([*names, ("P", "zz", "only", 0.0)], "type string, lang string, surface string, freq double")
+    idx = [rng.randrange(1 << 32) for _ in range(2000)] + [0, (1 << 32) - 1, 1 << 32, 1 << 31, -1]
+    mentions = spark.createDataFrame([(i, "P", ("en", "de", "zz")[i % 3], x) for i, x in enumerate(idx)], "id long, type string, lang string, idx long")
+    frame = inventory.drawn(mentions, stock, weighted=True)
+    assert frame.columns == ["id", "type", "lang", "idx", "surrogate"]
+    got = {r.id: r.surrogate for r in frame.collect()}
+    for lang in ("en", "de", "zz"):
+        order = sorted((-f, s) for _, of, s, f in stock.collect() if of == lang)
+        upto = list(itertools.accumulate(-f for f, _ in order))
+        for i, x in enumerate(idx):
+            if ("en", "de", "zz")[i % 3] == lang:
+                assert got[i] == order[next((k for k, u in enumerate(upto) if u > x / (1 << 32) * upto[-1]), len(order) - 1)][1], (lang, x)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan and "collect_list" not in plan
+    uniform = {r.id: r.surrogate for r in inventory.drawn(mentions.where("idx >= 0"), stock).collect()}
+    assert len(uniform) == len(idx) - 1 and all(uniform[i] == "only" for i in uniform if i % 3 == 2)

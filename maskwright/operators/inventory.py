@@ -56,9 +56,11 @@ def drawn(mentions: DataFrame, inventory: DataFrame, weighted: bool = False, att
     return rows.selectExpr(*(f"`{c}`" for c in mentions.columns), f"if(size_ is null, raise_error({message}), surface_) as surrogate")
 
 
-def attested(mentions: DataFrame, least: int = 2, limit: int = 20_000) -> DataFrame:
-    """``type, lang, surface, freq`` of surfaces seen ``least`` times or more, of each pool the ``limit`` most frequent."""
+def attested(mentions: DataFrame, least: int = 2, limit: int | None = None) -> DataFrame:
+    """``type, lang, surface, freq`` of surfaces seen ``least`` times or more; with ``limit`` only the most frequent of each pool."""
     rows = mentions.groupBy("type", "lang", "surface").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= least)
+    if limit is None:
+        return rows
     return rows.selectExpr("*", "row_number() over (partition by type, lang order by freq desc, surface) as r_").where(f"r_ <= {limit}").drop("r_")
 
 

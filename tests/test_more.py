@@ -343,3 +343,10 @@ def test_weighted_draws_from_a_long_pool(spark):
     assert "filter(" not in plan and "collect_list" not in plan
     uniform = {r.id: r.surrogate for r in inventory.drawn(mentions.where("idx >= 0"), stock).collect()}
     assert len(uniform) == len(idx) - 1 and all(uniform[i] == "only" for i in uniform if i % 3 == 2)
+
+
+def test_attested_keeps_every_surface(spark):
+    rows = spark.range(25_000).selectExpr("'P' as type", "'en' as lang", "concat('n', id) as surface")
+    rows = rows.unionAll(rows).unionAll(rows.where("surface = 'n7'"))
+    assert inventory.attested(rows).count() == 25_000
+    assert [(r.surface, r.freq) for r in inventory.attested(rows, limit=1).collect()] == [("n7", 3)]

@@ -350,3 +350,15 @@ def test_attested_keeps_every_surface(spark):
     rows = rows.unionAll(rows).unionAll(rows.where("surface = 'n7'"))
     assert inventory.attested(rows).count() == 25_000
     assert [(r.surface, r.freq) for r in inventory.attested(rows, limit=1).collect()] == [("n7", 3)]
+
+
+def test_window_ends_are_rounded_as_sql_does(spark):
+    """Odd numbers of documents, repeated and null keys."""
+    for n in (1, 2, 3, 5, 6, 50, 51, 53):
+        rows = [(i, None if i % 13 == 5 else i * 7 % 10) for i in range(n)]
+        con = duckdb.connect()
+        con.execute("create table documents (doc_id bigint, n_chars bigint)")
+        con.executemany("insert into documents values (?, ?)", rows)
+        want = con.execute(QUERIES["sample_window"].sql).fetchall()
+        got = sampling.window(spark.createDataFrame(rows, "doc_id long, n_chars long"), "n_chars", 0.25, 0.75)
+        assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, _ in want), n

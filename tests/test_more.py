@@ -362,3 +362,22 @@ def test_window_ends_are_rounded_as_sql_does(spark):
         want = con.execute(QUERIES["sample_window"].sql).fetchall()
         got = sampling.window(spark.createDataFrame(rows, "doc_id long, n_chars long"), "n_chars", 0.25, 0.75)
         assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, _ in want), n
+
+
+def test_degrees_without_rows_of_pairs(spark, monkeypatch):
+    """Distinct others of entities in several documents, repeats and tiny unions among them; no row of a pair is made."""
+    monkeypatch.setattr(attacks, "UNION", 16)
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), f"e{min(rng.randrange(60), rng.randrange(60))}", d, 0, 1) for d in range(40) for _ in range(rng.choice([1, 2, 5, 40]))]
+    rows = [(("a", "b")[d % 2], e, d, a, b) for _, e, d, a, b in rows]
+    frame = attacks.structure(spark.createDataFrame(rows, "side string, entity string, doc_id long, start int, end int"))
+    got = {(r.side, r.entity): (r.mentions, r.documents, r.degree) for r in frame.collect()}
+    held = {}
+    for side, e, d, *_ in rows:
+        held.setdefault((side, d), set()).add(e)
+    want = {}
+    for side, e, *_ in rows:
+        mine = [d for (s, d), es in held.items() if s == side and e in es]
+        want[side, e] = (sum(x[:2] == (side, e) for x in rows), len(mine), len(set().union(*(held[side, d] for d in mine))) - 1)
+    assert got == want
+    assert "of_ = other" not in (plan := frame._jdf.queryExecution().optimizedPlan().toString()) and "other#" not in plan

@@ -381,3 +381,14 @@ def test_degrees_without_rows_of_pairs(spark, monkeypatch):
         want[side, e] = (sum(x[:2] == (side, e) for x in rows), len(mine), len(set().union(*(held[side, d] for d in mine))) - 1)
     assert got == want
     assert "of_ = other" not in (plan := frame._jdf.queryExecution().optimizedPlan().toString()) and "other#" not in plan
+
+
+def test_counted_terms_are_written_once_each(spark):
+    """What is written holds a term once with its times; the damped arrays come from it."""
+    docs = spark.createDataFrame([(1, ["a"] * 5 + ["b"]), (2, [])], "doc_id long, f array<string>")
+    held = {r.doc_id: {(x.term, x.times) for x in r.f} for r in linear.counted(docs, ["f"]).collect()}
+    times = round(linear.STEPS * (1 + np.log(5)))
+    assert held == {1: {("a", times), ("b", linear.STEPS)}, 2: set()}
+    assert {r.doc_id: sorted(r.f) for r in linear.damped(docs, ["f"]).collect()} == {1: ["a"] * times + ["b"] * linear.STEPS, 2: []}
+    kind = linear.text_counts(spark.createDataFrame([(1, "one two")], "doc_id long, text string")).schema["chars_"].dataType.simpleString()
+    assert kind == "array<struct<term:string,times:int>>"
